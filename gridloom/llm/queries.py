@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_rules, simhash
+from . import bpe, classifier, packing, quality_rules, simhash, spherical
 from .tables import table
 
 
+def op1_pu_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -23,9 +27,13 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op9_spherical_cap_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_best_fit_packing, op5_robust_quality_rules, op6_simhash_near_dedup, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pu_quality_classifier, op4_best_fit_packing, op5_robust_quality_rules, op6_simhash_near_dedup, op9_spherical_cap_near_dedup, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
