@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, packing, quality_rules, simhash, spherical
+from . import bpe, classifier, packing, quality_rules, simhash, spherical, winnowing
 from .tables import table
 
 
@@ -27,6 +27,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op7_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_spherical_cap_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -35,5 +39,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pu_quality_classifier, op4_best_fit_packing, op5_robust_quality_rules, op6_simhash_near_dedup, op9_spherical_cap_near_dedup, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pu_quality_classifier, op4_best_fit_packing, op5_robust_quality_rules, op6_simhash_near_dedup, op7_winnowed_line_dedup, op9_spherical_cap_near_dedup, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}

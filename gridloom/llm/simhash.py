@@ -99,7 +99,7 @@ def full_variants(batches):
 def runs(batches, most: int):
     """Rows sorted by key, as (keys, fps, run starts); a run beyond ``most`` comes in parts of at least that size, marked as such."""
     held_key, held_fp, long_key = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-    for batch in [*()] if batches is None else batches:
+    for batch in batches:
         key = np.concatenate([held_key, batch.column("key").to_numpy(zero_copy_only=False)])
         fp = np.concatenate([held_fp, batch.column("fp").to_numpy(zero_copy_only=False)])
         if not len(key):
@@ -207,3 +207,14 @@ def near_duplicate_components(docs: DataFrame, radius: int = 4, words: int = SHI
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = rooted.join(least, "root").select("fp", "component_id").checkpoint()
     return each.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 4, words: int = SHINGLE_WORDS) -> DataFrame:
+    """The documents, with all their columns, that have the least id of their group; of rows with one id, one.
+
+    A row with a null id is never dropped: no id names it.
+    """
+    kept = near_duplicate_components(docs, radius, words).select(F.col("component_id").alias("key")).where("key is not null").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("key"))
+    named = rows.where("key is not null").join(kept, "key", "left_semi").groupBy("key").agg(F.first("doc").alias("doc"))
+    return named.select("doc.*").union(rows.where("key is null").select("doc.*"))
