@@ -1,3 +1,196 @@
-QUERIES = {}
-ORACLES = {}
-FLAGSHIP = ""
+"""The engine's queries and, for each, the DuckDB SQL that must give the same rows."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions.levels import depth, level_dims, nodal, thomas_factors
+from gridloom.operators import grid, statistics, tiles
+from gridloom.plans import formulas
+from gridloom.plans.dialect import DUCKDB, SPARK
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "l2_decompose_1d_full"
+
+#: Shapes that the leading elements of a 64-long embedding are read as.
+SHAPES = {"1d": (64,), "1d_odd": (63,), "2d": (8, 8), "2d_odd": (7, 9), "2d_mixed": (7, 8), "3d": (4, 4, 4), "3d_odd": (3, 3, 5), "3d_mixed": (3, 4, 5)}
+
+
+def blocks(spark: SparkSession, sf_dir: str, dims: Sequence[int]) -> DataFrame:
+    data = F.slice("embedding", 1, math.prod(dims)).cast("array<double>")
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("grid_id"), data.alias("data"))
+
+
+def block_sql(dims: Sequence[int]) -> str:
+    return f"select vec_id as grid_id, embedding[1:{math.prod(dims)}]::double[] as data from embeddings"
+
+
+def exploded(df: DataFrame) -> DataFrame:
+    return df.select("grid_id", F.posexplode("data").alias("pos", "v")).select("grid_id", F.col("pos").cast("long").alias("pos"), "v")
+
+
+def exploded_sql(dims: Sequence[int], formula: str, size: int) -> str:
+    return f"with g as ({block_sql(dims)}), r as (select grid_id, {formula} as data from g) select grid_id, unnest(range(0, {size}))::bigint as pos, unnest(data) as v from r"
+
+
+def register(name: str, dims: Sequence[int], operator: Callable[[DataFrame], DataFrame], formula: str, size: int | None = None) -> None:
+    """A query that applies a block operator to the embedding grids, and its oracle."""
+    QUERIES[name] = lambda spark, sf_dir: exploded(operator(blocks(spark, sf_dir, dims)))
+    ORACLES[name] = exploded_sql(dims, formula, size or math.prod(dims))
+
+
+def register_grid_queries() -> None:
+    d = DUCKDB
+    for key, dims in SHAPES.items():
+        register(f"reorder_{key}", dims, lambda df, n=dims: grid.reorder(df, n), formulas.reorder(d, "data", dims))
+        register(f"unreorder_{key}", dims, lambda df, n=dims: grid.unreorder(df, n), formulas.unreorder(d, "data", dims))
+        register(f"residual_{key}", dims, lambda df, n=dims: grid.residual(grid.reorder(df, n), n), formulas.residual(d, formulas.reorder(d, "data", dims), dims, "-"))
+        register(f"interpolate_{key}", dims, lambda df, n=dims: grid.residual(df, n, inverse=True), formulas.residual(d, "data", dims, "+"))
+        register(f"l2_correction_{key}", dims, lambda df, n=dims: grid.l2_correction(df, n), formulas.correction(d, "data", dims), math.prod(map(nodal, dims)))
+        for basis, short in (("hierarchical", "hier"), ("l2", "l2")):
+            l2 = basis == "l2"
+            for levels, suffix in ((1, "l1"), (None, "full"))[: depth(dims)]:
+                register(f"{short}_decompose_{key}_{suffix}", dims, lambda df, n=dims, k=levels, b=basis: grid.decompose(df, n, k, b), formulas.decompose(d, "data", dims, levels, l2))
+            register(f"recompose_{key}_{short}", dims, lambda df, n=dims, b=basis: grid.recompose(grid.decompose(df, n, None, b), n, None, b), formulas.recompose(d, formulas.decompose(d, "data", dims, None, l2), dims, None, l2))
+        register(f"restriction_{key}", dims, lambda df, n=dims: grid.restriction(df, n), formulas.restriction(d, "data", dims))
+    for key in ("1d", "2d", "3d"):
+        dims = SHAPES[key]
+        shapes = level_dims(dims, depth(dims))
+        register(f"progressive_{key}", dims, lambda df, n=dims: grid.progressive(grid.decompose(df, n), n, 1), formulas.recompose(d, formulas.decompose(d, "data", dims), dims, upto=1), math.prod(shapes[1]))
+        register_levels(key, dims)
+        register_statistics(key, dims)
+    register("load_vector_nodal", (64,), lambda df: grid.load_vector(zeroed(df), (64,), 0), formulas.load_axis(d, "list_concat(list_transform(range(0, 33), lambda x: 0.0::double), data[34:64])", (64,), 0), 33)
+    register("load_vector_coeff", (64,), lambda df: grid.load_vector(df, (64,), 0), formulas.load_axis(d, "data", (64,), 0), 33)
+    register("load_vector_vertical", (8, 8), lambda df: grid.load_vector(df, (8, 8), 0), formulas.load_axis(d, "data", (8, 8), 0), 40)
+    register("mass_solve", (64,), lambda df: grid.mass_solve(df, (64,), 0), formulas.solve_axis(d, "data", (64,), 0))
+    register("mass_solve_vertical", (8, 8), lambda df: grid.mass_solve(df, (8, 8), 0), formulas.solve_axis(d, "data", (8, 8), 0))
+
+
+def zeroed(df: DataFrame) -> DataFrame:
+    return df.withColumn("data", F.concat(F.array_repeat(F.lit(0.0), 33), F.slice("data", 34, 31)))
+
+
+def register_levels(key: str, dims: Sequence[int]) -> None:
+    shapes = level_dims(dims, depth(dims))
+    c = [formulas.coordinate(DUCKDB, "pos", dims, k) for k in range(len(dims))]
+    QUERIES[f"decomposed_form_{key}"] = lambda spark, sf_dir: grid.to_decomposed(grid.decompose(blocks(spark, sf_dir, dims), dims), dims)
+    axes = ", ".join(f"({c[k] if k < len(c) else '0'})::bigint as i{k + 1}" for k in range(3))
+    ORACLES[f"decomposed_form_{key}"] = f"select grid_id, {axes}, v, ({formulas.level_of(DUCKDB, c, shapes)})::int as level, ({formulas.mask_of(DUCKDB, c, shapes)})::int as mask from ({exploded_sql(dims, formulas.decompose(DUCKDB, 'data', dims), math.prod(dims))})"
+
+
+def register_statistics(key: str, dims: Sequence[int]) -> None:
+    size = math.prod(dims)
+
+    def there_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+        both = blocks(spark, sf_dir, dims).withColumn("ori", F.col("data"))
+        return grid.recompose(grid.decompose(both, dims), dims).withColumn("n_bytes", F.lit(100))
+
+    QUERIES[f"roundtrip_stats_{key}"] = lambda spark, sf_dir: statistics.statistics(there_and_back(spark, sf_dir), dims, "ori", "data").drop("psnr")
+    QUERIES[f"compression_ratio_{key}"] = lambda spark, sf_dir: statistics.statistics(there_and_back(spark, sf_dir), dims, "ori", "data", "n_bytes").select("grid_id", "compression_ratio")
+    back = formulas.recompose(DUCKDB, formulas.decompose(DUCKDB, "data", dims), dims)
+    columns = statistics.statistic_columns(DUCKDB, "data", "dec", size)
+    listed = ", ".join(f"{e} as {k}" for k, e in columns.items() if k != "psnr")
+    source = f"with g as ({block_sql(dims)}), r as (select grid_id, data, {back} as dec from g)"
+    ORACLES[f"roundtrip_stats_{key}"] = f"{source} select grid_id, {listed} from r"
+    ORACLES[f"compression_ratio_{key}"] = f"select vec_id as grid_id, {float(8 * size)!r}::double / 100 as compression_ratio from embeddings"
+    QUERIES[f"coarse_stats_{key}"] = lambda spark, sf_dir: statistics.statistics(coarse(spark, sf_dir, dims), dims, "ori", "data")
+    kept = math.prod(level_dims(dims, depth(dims))[0])
+    ORACLES[f"coarse_stats_{key}"] = f"with g as ({block_sql(dims)}), q as (select grid_id, data, {formulas.decompose(DUCKDB, 'data', dims)} as c from g), z as (select grid_id, data, {zero_sql(DUCKDB, 'c', dims)} as c from q), r as (select grid_id, data, {formulas.recompose(DUCKDB, 'c', dims)} as dec from z) select grid_id, {', '.join(f'{e} as {k}' for k, e in columns.items())} from r"
+    assert kept
+
+
+def zero_sql(d, a: str, dims: Sequence[int]) -> str:
+    """A decomposition without its finest coefficients."""
+    shape = level_dims(dims, depth(dims))[-2]
+    return formulas.over(d, a, dims, lambda x, p, c: f"case when {' and '.join(f'{k} < {n}' for k, n in zip(c, shape, strict=True))} then {d.at(x, p)} else {d.number(0.0)} end")
+
+
+def coarse(spark: SparkSession, sf_dir: str, dims: Sequence[int]) -> DataFrame:
+    both = grid.decompose(blocks(spark, sf_dir, dims).withColumn("ori", F.col("data")), dims)
+    return grid.recompose(both.withColumn("data", F.expr(zero_sql(SPARK, "data", dims))), dims)
+
+
+def register_products() -> None:
+    for key, dims in (("dot_product", (64,)), ("dot_product_3d", (4, 4, 4))):
+        size = math.prod(dims)
+
+        def query(spark: SparkSession, sf_dir: str, dims=dims, size=size) -> DataFrame:
+            own = blocks(spark, sf_dir, dims)
+            turned = grid.reorder(own.withColumn("ori", F.col("data")), dims)
+            return grid.dot_product(turned, size, "ori", "data").select("grid_id", "dot")
+
+        QUERIES[key] = query
+        ORACLES[key] = f"with g as ({block_sql(dims)}) select grid_id, {formulas.dot(DUCKDB, 'data', formulas.reorder(DUCKDB, 'data', dims), size)} as dot from g"
+    dims = (4, 4, 4)
+    QUERIES["operator_norm_3d"] = lambda spark, sf_dir: grid.operator_norm(blocks(spark, sf_dir, dims), dims, 2, 0.5).select("grid_id", F.posexplode("norms").alias("level", "norm"))
+    ORACLES["operator_norm_3d"] = f"with g as ({block_sql(dims)}), r as (select grid_id, {grid.operator_norm_steps(DUCKDB, 'data', dims, 2, 0.5)} as norms from g) select grid_id, unnest(range(0, 3))::int as level, unnest(norms) as norm from r"
+
+
+def register_tables() -> None:
+    wanted = {"G1": (64,), "G2": (8, 8), "G3": (4, 4, 4)}
+    rows = [(name, k, axis, n) for name, dims in wanted.items() for k, shape in enumerate(level_dims(dims, depth(dims))) for axis, n in enumerate(shape)]
+    QUERIES["levels_table"] = lambda spark, sf_dir: spark.createDataFrame(rows, "grid string, level int, axis int, n long")
+    starts = " union all ".join(f"select '{g}' as grid, {axis} as axis, {n}::bigint as n, {depth(dims)} as level" for g, dims in wanted.items() for axis, n in enumerate(dims))
+    ORACLES["levels_table"] = f"with recursive s as ({starts}), l as (select * from s union all select grid, axis, n // 2 + 1, level - 1 from l where level > 0) select grid, level, axis, n from l"
+    factors = [(k, w, b) for k, (w, b) in enumerate(zip(*thomas_factors(33), strict=True))]
+    QUERIES["thomas_factors"] = lambda spark, sf_dir: spark.createDataFrame(factors, "k int, w double, b double")
+    ORACLES["thomas_factors"] = "with recursive t as (select 0 as k, 0.0::double as w, 2.0::double / 3.0::double as b union all select k + 1, (1.0::double / 3.0::double) / b, (case when k + 1 = 32 then 2.0::double / 3.0::double else 4.0::double / 3.0::double end) - ((1.0::double / 3.0::double) / b) * (1.0::double / 3.0::double) from t where k < 32) select * from t"
+
+
+def line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long grid: event values by event_id."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit(0).cast("long").alias("grid_id"), F.col("event_id").alias("i1"), F.lit(0).cast("long").alias("i2"), F.lit(0).cast("long").alias("i3"), "value")
+
+
+def register_large() -> None:
+    """Whole-table grids: one long line in blocks of expressions, and lines, planes and boxes in tiles."""
+
+    def hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cells = line(spark, sf_dir).withColumnRenamed("value", "v")
+        n = cells.count()
+        return tiles.decompose_large(cells, (n,), 1, "hierarchical", tile=4096).select("i1", "v")
+
+    QUERIES["hier_decompose_events_l1"] = hierarchical
+    ORACLES["hier_decompose_events_l1"] = (
+        "with e as (select event_id as i, value as v, count(*) over () as n from events), x as (select i, n, n // 2 + 1 as m, v, lag(v) over (order by i) as before, lead(v) over (order by i) as after from e), "
+        "y as (select case when n % 2 = 0 and i = n - 1 then m - 1 when i % 2 = 0 then i // 2 else m + (i - 1) // 2 end as i1, case when n % 2 = 0 and i = n - 1 then 2.0::double * v - before when i % 2 = 0 then v "
+        "else v - (before + after) / 2.0::double end as v from x) select i1::bigint as i1, v from y"
+    )
+
+    def large(rank: int, back: bool) -> Query:
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            cells = line(spark, sf_dir).withColumnRenamed("value", "v")
+            n = cells.count()
+            dims = box_dims(n, rank)
+            where = [formulas.coordinate(SPARK, "i1", dims, k) for k in range(rank)] + ["0"] * (3 - rank)
+            cells = cells.selectExpr("grid_id", *[f"cast({w} as bigint) as j{k + 1}" for k, w in enumerate(where)], "v").toDF("grid_id", "i1", "i2", "i3", "v")
+            out = tiles.decompose_large(cells, dims)
+            return tiles.recompose_large(out, dims) if back else out
+
+        return query
+
+    for rank in (1, 2, 3):
+        QUERIES[f"large_decompose_{rank}d"] = large(rank, False)
+        QUERIES[f"large_roundtrip_{rank}d"] = large(rank, True)
+
+
+def box_dims(n: int, rank: int) -> list[int]:
+    """As equal axes as divide n."""
+    dims = []
+    for left in range(rank, 1, -1):
+        a = max(k for k in range(1, round(n ** (1 / left)) + 1) if n % k == 0)
+        dims.append(a)
+        n //= a
+    return [*dims, n]
+
+
+register_grid_queries()
+register_products()
+register_tables()
+register_large()
