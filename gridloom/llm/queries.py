@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, packing, quality_rules, simhash, spherical, winnowing
+from . import bpe, classifier, licenses, packing, quality_rules, simhash, spherical, training_order, transcripts, winnowing
 from .tables import table
 
 
@@ -15,6 +15,14 @@ def op1_pu_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_training_order_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.parse_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -31,6 +39,10 @@ def op7_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.line_report(table(spark, sf_dir, "documents"))
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_spherical_cap_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -39,5 +51,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pu_quality_classifier, op4_best_fit_packing, op5_robust_quality_rules, op6_simhash_near_dedup, op7_winnowed_line_dedup, op9_spherical_cap_near_dedup, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_pu_quality_classifier,
+        op2_training_order_shards,
+        op3_transcript_roles,
+        op4_best_fit_packing,
+        op5_robust_quality_rules,
+        op6_simhash_near_dedup,
+        op7_winnowed_line_dedup,
+        op8_licence_scan,
+        op9_spherical_cap_near_dedup,
+        op10_byte_bpe,
+    )
+}
+#: Every operator here iterates, fits a model, tokenizes or compares within a radius, beyond SQL; tests hold each against brute force.
 ORACLES: dict[str, str] = {}
