@@ -150,6 +150,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     chosen = F.broadcast(trusted.union(sample).groupBy("doc_id").agg(F.max("trusted").alias("trusted"), F.max(~F.col("trusted")).alias("sampled")))
     picked = docs.join(chosen, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"])
     found = feature_rows(picked).join(chosen, "doc_id").orderBy("doc_id").select("x", "trusted", "sampled").collect()
+    if not found:
+        return None
     x = np.array([np.frombuffer(r["x"], np.float32) for r in found], np.float64).reshape(len(found), -1)
     p, u = np.array([r["trusted"] for r in found], bool), np.array([r["sampled"] for r in found], bool)
     if not p.any() or not u.any():
