@@ -54,17 +54,24 @@ def repeated_spans(docs: DataFrame, gram: int = GRAM_WORDS, run: int = RUN_WORDS
     """(d, th, spans): for documents with later repeats, the first and last line numbers to delete."""
     ensure_checkpoint_dir(docs.sparkSession)
     held = places(docs, gram, run).checkpoint()
-    prints = held.select("d", "th", F.explode("prints").alias("x")).select(F.col("x.h").alias("g"), F.struct("d", "th", F.col("x.i").alias("i")).alias("place"))
+    prints = held.select("d", "th", F.explode("prints").alias("x")).select(F.col("x.h").alias("g"), F.struct("d", "th", F.col("x.i").alias("i")).alias("place"), F.col("x.k").alias("k"))
     first = prints.groupBy("g").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("g", "first").checkpoint()
-    around = held.select("d", "th", F.explode("prints").alias("x"), "lines").select(
-        F.col("x.h").alias("g"),
-        F.struct("d", "th", F.col("x.i").alias("i")).alias("place"),
-        F.col("x.k").alias("k"),
-        F.expr(f"reverse(transform(slice(lines, greatest(x.i - {run}, 0) + 1, least(x.i, {run})), y -> struct(y.h as h, y.p as p)))").alias("before"),
-        F.expr("transform(slice(lines, x.i + 1, x.k), y -> y.p)").alias("inside"),
-        F.expr(f"transform(slice(lines, x.i + x.k + 1, {run}), y -> struct(y.h as h, y.p as p))").alias("after"),
+    # Only places of fingerprints that occur elsewhere go back to their documents' lines; a document has few.
+    places_of = prints.join(first, "g").groupBy("place.d", "place.th").agg(F.collect_list(F.struct("g", "first", "place", "k")).alias("xs"))
+    shared = (
+        held.select("d", "th", "lines")
+        .join(places_of, ["d", "th"])
+        .select("lines", F.explode("xs").alias("x"))
+        .select(
+            F.col("x.g").alias("g"),
+            F.col("x.place").alias("place"),
+            F.col("x.first").alias("first"),
+            F.expr(f"reverse(transform(slice(lines, greatest(x.place.i - {run}, 0) + 1, least(x.place.i, {run})), y -> struct(y.h as h, y.p as p)))").alias("before"),
+            F.expr("transform(slice(lines, x.place.i + 1, x.k), y -> y.p)").alias("inside"),
+            F.expr(f"transform(slice(lines, x.place.i + x.k + 1, {run}), y -> struct(y.h as h, y.p as p))").alias("after"),
+        )
+        .checkpoint()
     )
-    shared = around.join(first, "g").checkpoint()
     heads = shared.where("place = first").groupBy("g").agg(F.first(F.struct("before", "after")).alias("head")).select("g", "head.before", "head.after").toDF("g", "before0", "after0").checkpoint()
 
     def common(ours: str, theirs: str) -> str:
