@@ -85,8 +85,8 @@ def normal_quantile(tail: float) -> float:
 
 
 def code_size(rows: int) -> int:
-    """Directions per block: as many filters in all as there are vectors, 4096 at least."""
-    return max(8, math.ceil(max(rows, 1) ** (1 / BLOCKS)))
+    """Directions per block: 64 filters in all for each vector, 4096 at least, so that unrelated vectors seldom meet."""
+    return max(8, math.ceil((64 * max(rows, 1)) ** (1 / BLOCKS)))
 
 
 _CODES: dict[tuple[int, int], CapCode] = {}
@@ -173,9 +173,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataF
     size = code_size(units.count())
     dealt = decoded(units.select("id", "weight", "label", "embedding"), size).checkpoint()
     cells = dealt.select("id", "weight", "label", "embedding", "filters", F.size("embedding").alias("length"), F.explode("filters").alias("filter"))
-    large = dealt.select("label", F.size("embedding").alias("length"), F.explode("filters").alias("filter")).groupBy("label", "filter", "length").count().where(F.col("count") > SIDE)
-    large = large.select("label", "filter", "length", F.ceil(F.col("count") / SIDE).cast("int").alias("sides")).checkpoint()
-    sided = cells.join(large, ["label", "filter", "length"], "left").withColumn("sides", F.coalesce("sides", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+    shared = dealt.select("label", F.size("embedding").alias("length"), F.explode("filters").alias("filter")).groupBy("label", "filter", "length").count().where("count > 1")
+    shared = shared.select("label", "filter", "length", F.ceil(F.col("count") / SIDE).cast("int").alias("sides")).checkpoint()
+    sided = cells.join(shared, ["label", "filter", "length"]).withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
     meeting = F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda k: F.struct(F.least("side", k).alias("i"), F.greatest("side", k).alias("j")))
     met = sided.withColumn("meet", F.explode(meeting)).select("id", "weight", "embedding", "filters", "side", "label", "filter", "length", "meet.i", "meet.j")
     found = met.groupBy("label", "filter", "length", "i", "j").applyInArrow(verified(threshold), "id long, links long, root long").checkpoint()
