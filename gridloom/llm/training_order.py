@@ -6,7 +6,7 @@ plus its row there), so indices are dense without a sort. A Feistel network keye
 ``key`` permutes the least power of two that holds all indices; an index that lands
 beyond the count walks on along its cycle until it falls inside, which keeps the map
 a bijection of the indices. The slot gives shard and row by division. Sequences are
-dealt by shard, ordered by slot, and every row of a shard file takes ``stride``
+dealt by ranges of whole shards, ordered by slot, and every row of a shard file takes ``stride``
 token ids of two bytes, padded, so a reader resumes at any slot by a seek.
 
 A shard file appears under its name only when complete, and a repeated task writes
@@ -102,8 +102,8 @@ def shard_path(folder: str, shard: int) -> str:
     return os.path.join(folder, f"shard-{shard:08d}.bin")
 
 
-def write_shards(slotted: DataFrame, folder: str, stride: int = STRIDE, rows: int = ROWS_PER_SHARD) -> DataFrame:
-    """Writes the shards to a folder that all executors share; (doc_id, piece, n_tokens, slot, shard, row, crc32). Lazy."""
+def write_shards(slotted: DataFrame, count: int, folder: str, stride: int = STRIDE, rows: int = ROWS_PER_SHARD) -> DataFrame:
+    """Writes the shards of ``count`` slots to a folder that all executors share; (doc_id, piece, n_tokens, slot, shard, row, crc32). Lazy."""
     target = urlparse(folder).path if ":" in folder else folder
     if urlparse(folder).scheme not in ("", "file"):
         raise ValueError("shards go to a mounted folder")
@@ -132,9 +132,11 @@ def write_shards(slotted: DataFrame, folder: str, stride: int = STRIDE, rows: in
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
         close()
 
-    n = partitions_for(slotted.sparkSession)
-    dealt = slotted.withColumn("shard", F.expr(f"slot div {rows}")).repartition(n, "shard").sortWithinPartitions("slot")
-    return dealt.drop("shard").mapInArrow(run, "doc_id long, piece int, n_tokens int, slot long, shard long, row long, crc32 long")
+    # Slots are dense, so ranges of whole shards follow from their count, without a sample.
+    shards = max(1, -(-count // rows))
+    n = min(partitions_for(slotted.sparkSession), shards)
+    dealt = slotted.repartitionById(n, F.expr(f"cast((slot div {rows}) * {n} div {shards} as int)")).sortWithinPartitions("slot")
+    return dealt.mapInArrow(run, "doc_id long, piece int, n_tokens int, slot long, shard long, row long, crc32 long")
 
 
 def read_from(folder: str, slot: int, stride: int = STRIDE, rows: int = ROWS_PER_SHARD) -> Iterator[np.ndarray]:
@@ -155,5 +157,5 @@ def materialise(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
     ensure_checkpoint_dir(spark)
     path = scratch_dir(spark, "sequences")
     sequences(docs, tokenizer_path, stride).write.option("compression", "zstd").parquet(path)
-    slotted, _ = with_slots(spark.read.parquet(path), key)
-    return write_shards(slotted, folder or scratch_dir(spark, "shards"), stride, rows)
+    slotted, count = with_slots(spark.read.parquet(path), key)
+    return write_shards(slotted, count, folder or scratch_dir(spark, "shards"), stride, rows)
