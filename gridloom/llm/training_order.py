@@ -5,9 +5,11 @@ once as a table. A sequence's index is its place in that table (rows before its
 plus its row there), so indices are dense without a sort. A Feistel network keyed by
 ``key`` permutes the least power of two that holds all indices; an index that lands
 beyond the count walks on along its cycle until it falls inside, which keeps the map
-a bijection of the indices. The slot gives shard and row by division. Sequences are
-dealt by ranges of whole shards, ordered by slot, and every row of a shard file takes ``stride``
-token ids of two bytes, padded, so a reader resumes at any slot by a seek.
+a bijection of the indices. The slot gives shard and row by division. A task
+sorts what it has read by shard and compresses each shard's part as one block; blocks
+are dealt by ranges of whole shards, and a shard is laid out in memory when its blocks
+have come together. Every row of a shard file takes ``stride`` token ids of two bytes,
+padded, so a reader resumes at any slot by a seek.
 
 A shard file appears under its name only when complete, and a repeated task writes
 the same bytes. Defined results: null and empty texts hold the end token alone;
@@ -18,12 +20,14 @@ shard; other columns are ignored.
 from __future__ import annotations
 
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,8 @@ ROWS_PER_SHARD = 4096
 PAD = 0
 END_ID = 1
 ROUNDS = 6
+#: Bytes of sequences that a task sorts into blocks at a time, and the blocks' compression.
+BLOCK_BYTES, BLOCK_LEVEL = 1 << 25, 5
 KEY = 0x5EED
 
 
@@ -82,8 +88,8 @@ def sequences(docs: DataFrame, tokenizer_path: str, stride: int = STRIDE) -> Dat
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, n_tokens int, payload binary")
 
 
-def with_slots(table: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
-    """Adds slot to a written table of sequences; also their count."""
+def in_blocks(table: DataFrame, key: int = KEY, rows: int = ROWS_PER_SHARD) -> tuple[DataFrame, int]:
+    """A written table of sequences as blocks (shard, doc_id, piece, n_tokens, row: arrays; payload: zstd); also the count of sequences."""
     placed = table.select("doc_id", "piece", "n_tokens", "payload", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     # One row per file of the table.
     sizes = sorted((r["file"], r["n"]) for r in placed.groupBy("file").agg(F.count("*").alias("n")).collect())
@@ -91,51 +97,88 @@ def with_slots(table: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
     count = sum(n for _, n in sizes)
 
     def run(batches):
-        for batch in batches:
-            index = np.array([before[f] for f in batch.column("file").to_pylist()], np.int64) + batch.column("row").to_numpy()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "n_tokens", "payload")), pa.array(permuted(index, count, key))], names=["doc_id", "piece", "n_tokens", "payload", "slot"])
-
-    return placed.mapInArrow(run, "doc_id long, piece int, n_tokens int, payload binary, slot long"), count
+        packer = zstandard.ZstdCompressor(level=BLOCK_LEVEL)
+        for held in gathered(batches, BLOCK_BYTES):
+            files = held.column("file").dictionary_encode()
+            starts = np.array([before[f] for f in files.dictionary.to_pylist()], np.int64)
+            slot = permuted(starts[files.indices.to_numpy()] + held.column("row").to_numpy(), count, key)
+            order = np.argsort(slot // rows, kind="stable")
+            slot, held = slot[order], held.take(pa.array(order))
+            shard, first = np.unique(slot // rows, return_index=True)
+            ends = np.append(first, len(slot)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, held.column(c)) for c in ("doc_id", "piece", "n_tokens")]
+            lists.append(pa.ListArray.from_arrays(ends, pa.array((slot % rows).astype(np.int32))))
+            at = 2 * np.concatenate([[0], np.cumsum(held.column("n_tokens").to_numpy(), dtype=np.int64)])[ends]
+            tokens = memoryview(b"".join(held.column("payload").to_pylist()))
+            blocks = pa.array([packer.compress(tokens[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *lists, blocks], names=["shard", "doc_id", "piece", "n_tokens", "row", "payload"])
+
+    return placed.mapInArrow(run, "shard long, doc_id array<long>, piece array<int>, n_tokens array<int>, row array<int>, payload binary"), count
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The batches put together until they reach ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held and size:
+        yield pa.concat_batches(held)
 
 
 def shard_path(folder: str, shard: int) -> str:
     return os.path.join(folder, f"shard-{shard:08d}.bin")
 
 
-def write_shards(slotted: DataFrame, count: int, folder: str, stride: int = STRIDE, rows: int = ROWS_PER_SHARD) -> DataFrame:
+def write_shards(blocks: DataFrame, count: int, folder: str, stride: int = STRIDE, rows: int = ROWS_PER_SHARD) -> DataFrame:
     """Writes the shards of ``count`` slots to a folder that all executors share; (doc_id, piece, n_tokens, slot, shard, row, crc32). Lazy."""
     target = urlparse(folder).path if ":" in folder else folder
     if urlparse(folder).scheme not in ("", "file"):
         raise ValueError("shards go to a mounted folder")
-    names = ["doc_id", "piece", "n_tokens", "slot", "shard", "row", "crc32"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-
-    def run(batches):
+    kept = ["doc_id", "piece", "n_tokens", "row"]
+
+    def one(shard: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """Writes a shard of which parts are all the blocks."""
+        unpacker = zstandard.ZstdDecompressor()
+        column = {c: pa.concat_arrays([x.column(c).flatten() for x in parts]) for c in kept}
+        flat = np.frombuffer(b"".join(unpacker.decompress(x) for part in parts for x in part.column("payload").to_pylist()), "<u2")
+        n, row = column["n_tokens"].to_numpy().astype(np.int64), column["row"].to_numpy().astype(np.int64)
+        ends = np.cumsum(n)
+        grid = np.full((len(n), stride), PAD, "<u2")
+        grid.reshape(-1)[np.repeat(row * stride - ends + n, n) + np.arange(len(flat))] = flat
         os.makedirs(target, exist_ok=True)
-        shard, file = -1, None
-
-        def close():
-            if file:
-                file.close()
-                os.replace(file.name, shard_path(target, shard))
+        part = f"{shard_path(target, shard)}.{uuid.uuid4().hex}.part"
+        with open(part, "wb") as f:
+            f.write(grid)
+        os.replace(part, shard_path(target, shard))
+        order = np.argsort(row)
+        crc = [zlib.crc32(grid[r, :k]) for r, k in zip(row[order].tolist(), n[order].tolist(), strict=True)]
+        taken = [column[c].take(pa.array(order)) for c in kept]
+        row = row[order]
+        return pa.RecordBatch.from_arrays([*taken[:3], pa.array(shard * rows + row), pa.array(np.full(len(row), shard)), pa.array(row), pa.array(crc, pa.int64())], names=["doc_id", "piece", "n_tokens", "slot", "shard", "row", "crc32"])
 
+    def run(batches):
+        shard, parts = -1, []
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for doc_id, piece, n, payload, slot in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "piece", "n_tokens", "payload", "slot")), strict=True):
-                if slot // rows != shard:
-                    close()
-                    shard = slot // rows
-                    file = open(f"{shard_path(target, shard)}.{os.getpid()}.part", "wb")  # noqa: SIM115
-                file.write(payload + np.full(stride - n, PAD, "<u2").tobytes())
-                for held, value in zip(out, (doc_id, piece, n, slot, shard, slot % rows, zlib.crc32(payload)), strict=True):
-                    held.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
-        close()
+            numbers = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b and numbers[a] != shard:
+                    if parts:
+                        yield one(shard, parts)
+                    shard, parts = int(numbers[a]), []
+                if a < b:
+                    parts.append(batch.slice(a, b - a))
+        if parts:
+            yield one(shard, parts)
 
     # Slots are dense, so ranges of whole shards follow from their count, without a sample.
     shards = max(1, -(-count // rows))
-    n = min(partitions_for(slotted.sparkSession), shards)
-    dealt = slotted.repartitionById(n, F.expr(f"cast((slot div {rows}) * {n} div {shards} as int)")).sortWithinPartitions("slot")
+    n = min(partitions_for(blocks.sparkSession), shards)
+    dealt = blocks.repartitionById(n, F.expr(f"cast((shard * {n}) div {shards} as int)")).sortWithinPartitions("shard")
     return dealt.mapInArrow(run, "doc_id long, piece int, n_tokens int, slot long, shard long, row long, crc32 long")
 
 
@@ -157,5 +200,5 @@ def materialise(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
     ensure_checkpoint_dir(spark)
     path = scratch_dir(spark, "sequences")
     sequences(docs, tokenizer_path, stride).write.option("compression", "zstd").parquet(path)
-    slotted, count = with_slots(spark.read.parquet(path), key)
-    return write_shards(slotted, count, folder or scratch_dir(spark, "shards"), stride, rows)
+    blocks, count = in_blocks(spark.read.parquet(path), key, rows)
+    return write_shards(blocks, count, folder or scratch_dir(spark, "shards"), stride, rows)
