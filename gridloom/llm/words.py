@@ -17,8 +17,8 @@ import numpy as np
 from .memo import Memo
 from .merging import PairTable, merge_all
 
-#: Words remembered by a worker (about 150 bytes each).
-MAX_CACHED_WORDS = 400_000
+#: Words and parts of words remembered by a worker (about 200 bytes each).
+MAX_CACHED_WORDS, MAX_CACHED_PARTS = 250_000, 100_000
 #: Bytes of text whose words are looked up together.
 CHUNK_BYTES = 1 << 21
 #: Words with a character from here on go through the library: its Unicode tables decide.
@@ -59,7 +59,7 @@ class WordEncoder:
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
         self.findall = regex.compile(split_rule + r"|\n").findall
         self.words = Memo(self._encode_words, MAX_CACHED_WORDS)
-        self.parts = Memo(self._encode_parts, MAX_CACHED_WORDS)
+        self.parts = Memo(self._encode_parts, MAX_CACHED_PARTS)
 
     def ids_bytes(self, texts: list[str | None]) -> list[bytes]:
         """Null and empty texts give no ids."""
