@@ -6,7 +6,10 @@ the one with the least hash is a fingerprint, the leftmost at a tie, so two text
 that share a run of RUN_WORDS words share a fingerprint at the same place in it.
 Fingerprints are joined by hash to their first occurrence in the corpus, by doc_id
 and line; from there the match is extended line by line both ways, as far as the
-next fingerprint must come, and the later occurrence is deleted. A fingerprint that
+next fingerprint must come, and the later occurrence is deleted. The first place of a
+gram may hold less of a run than a later one, so in documents with repeated fingerprints
+the shortest runs of RUN_WORDS words from each line on, and to each line, are joined to
+their own first occurrence as well; together they cover every repeated run. A fingerprint that
 very many documents share is pre-aggregated to its first occurrence, and the join
 back carries one row for each place: no pairs of documents arise.
 
@@ -44,12 +47,29 @@ def outlined(gram: int, run: int) -> str:
     return let(lines, "ls", f"struct(ls as lines, {let(spans, 'gs', once)} as prints)")
 
 
+def windows(run: int) -> str:
+    """SQL for lines and repeated fingerprints xs: the shortest runs of ``run`` words from or to a line that hold one, as structs (h, i, m) of hash, first line and lines."""
+    grow = f"struct(if(a.w < {run}, xxhash64(a.h, x.h), a.h) as h, if(a.w < {run}, a.r + 1, a.r) as r, least(a.w + x.n, {run}) as w)"
+    spans = f"transform(lines, (line, i) -> aggregate(slice(lines, i + 1, {run}), struct(42L as h, 0 as r, 0 as w), (a, x) -> {grow}, a -> struct(a.h as h, i as i, a.r as r, a.w as w)))"
+    held = f"filter(ss, s -> s.w >= {run} and exists(xs, x -> x.place.i >= s.i and x.place.i + x.k <= s.i + s.r))"
+    # A run from line i on that ends before the shortest one from line i + 1 does is the shortest to its last line.
+    most = f"greatest(s.r, if(s.i + 1 >= size(lines) or ss[s.i + 1].w < {run}, size(lines) - s.i, ss[s.i + 1].r))"
+    longer = f"transform(sequence(s.r, {most}), m -> struct(aggregate(slice(lines, s.i + s.r + 1, m - s.r), s.h, (h, x) -> xxhash64(h, x.h)) as h, s.i as i, m as m))"
+    return let(spans, "ss", f"flatten(transform({held}, s -> {longer}))")
+
+
 def places(docs: DataFrame, gram: int, run: int) -> DataFrame:
     """(d, th, lines, prints) for each distinct document."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("d"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("t"))
     return keyed.select("d", "th", F.expr(let("t", "t", outlined(gram, run))).alias("o")).select("d", "th", "o.*")
 
 
+#: Sorted spans with those that overlap or touch as one.
+MERGED = """aggregate(slice(spans, 2, size(spans)), struct(cast(array() as array<struct<low:int,high:int>>) as done, spans[0] as last),
+    (a, x) -> if(x.low <= a.last.high + 1, struct(a.done as done, struct(a.last.low as low, greatest(a.last.high, x.high) as high) as last), struct(concat(a.done, array(a.last)) as done, x as last)),
+    a -> concat(a.done, array(a.last)))"""
+
+
 def repeated_spans(docs: DataFrame, gram: int = GRAM_WORDS, run: int = RUN_WORDS) -> DataFrame:
     """(d, th, spans): for documents with later repeats, the first and last line numbers to delete."""
     ensure_checkpoint_dir(docs.sparkSession)
@@ -61,7 +81,7 @@ def repeated_spans(docs: DataFrame, gram: int = GRAM_WORDS, run: int = RUN_WORDS
     shared = (
         held.select("d", "th", "lines")
         .join(places_of, ["d", "th"])
-        .select("lines", F.explode("xs").alias("x"))
+        .select("lines", "xs", F.posexplode("xs").alias("q", "x"))
         .select(
             F.col("x.g").alias("g"),
             F.col("x.place").alias("place"),
@@ -69,6 +89,8 @@ def repeated_spans(docs: DataFrame, gram: int = GRAM_WORDS, run: int = RUN_WORDS
             F.expr(f"reverse(transform(slice(lines, greatest(x.place.i - {run}, 0) + 1, least(x.place.i, {run})), y -> struct(y.h as h, y.p as p)))").alias("before"),
             F.expr("transform(slice(lines, x.place.i + 1, x.k), y -> y.p)").alias("inside"),
             F.expr(f"transform(slice(lines, x.place.i + x.k + 1, {run}), y -> struct(y.h as h, y.p as p))").alias("after"),
+            # One row of a document carries its windows, with the line numbers to delete.
+            F.expr(f"if(q = 0, transform({windows(run)}, v -> struct(v.h as h, v.i as i, lines[v.i].p as low, lines[v.i + v.m - 1].p as high)), null)").alias("windows"),
         )
         .checkpoint()
     )
@@ -79,7 +101,12 @@ def repeated_spans(docs: DataFrame, gram: int = GRAM_WORDS, run: int = RUN_WORDS
 
     matched = shared.where("place <> first").join(heads, "g").select("place.d", "place.th", "inside", "before", "after", F.expr(common("before", "before0")).alias("nb"), F.expr(common("after", "after0")).alias("na"))
     low, high = F.expr("if(nb = 0, inside[0], before[nb - 1].p)"), F.expr("if(na = 0, element_at(inside, -1), after[na - 1].p)")
-    return matched.select("d", "th", F.struct(low.alias("low"), high.alias("high")).alias("span")).groupBy("d", "th").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    by_gram = matched.select("d", "th", F.struct(low.alias("low"), high.alias("high")).alias("span"))
+    wide = shared.where("windows is not null").select("place.d", "place.th", F.explode("windows").alias("v")).select(F.col("v.h").alias("g"), F.struct("d", "th", F.col("v.i").alias("i")).alias("place"), F.struct("v.low", "v.high").alias("span"))
+    first_wide = wide.groupBy("g").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("g", "first")
+    by_window = wide.join(first_wide, "g").where("place <> first").select("place.d", "place.th", "span")
+    found = by_gram.union(by_window).groupBy("d", "th").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    return found.select("d", "th", F.expr(MERGED).alias("spans"))
 
 
 def with_spans(docs: DataFrame, gram: int = GRAM_WORDS, run: int = RUN_WORDS) -> DataFrame:
