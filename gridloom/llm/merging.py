@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Callable
 
 import numpy as np
@@ -57,35 +56,50 @@ class PairTable:
 
 
 def merge_all(cuts: list[bytes], start: Callable[[np.ndarray, np.ndarray], np.ndarray], pairs: PairTable, merged: np.ndarray) -> list[bytes]:
-    """Ids of non-empty cuts, little-endian 32 bit.
+    """Ids of non-empty cuts, little-endian 32 bit; start and merged as for merge_flat."""
+    size = np.fromiter(map(len, cuts), np.int64, len(cuts))
+    flat, n = merge_flat(np.frombuffer(b"".join(cuts), np.uint8), np.cumsum(size) - size, size, start, pairs, merged)
+    raw, ends = flat.astype("<u4").tobytes(), (np.cumsum(n) * 4).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def merge_flat(raw: np.ndarray, first: np.ndarray, size: np.ndarray, start: Callable[[np.ndarray, np.ndarray], np.ndarray], pairs: PairTable, merged: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the non-empty cuts raw[first : first + size], end to end, and how many each has.
 
     start(bytes matrix, sizes) gives the ids before any merge; merged the id that a
     merge of each rank makes.
     """
-    out: list[bytes] = [b""] * len(cuts)
-    buckets = defaultdict(list)
-    for k, cut in enumerate(cuts):
-        buckets[max(2, 1 << (len(cut) - 1).bit_length())].append(k)
-    for width, members in buckets.items():
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # cuts, their counts of ids, their ids end to end
+    bucket = np.maximum(1, np.ceil(np.log2(np.maximum(size, 1)))).astype(np.int64)
+    for k in np.unique(bucket).tolist():
+        width, members = 1 << k, np.flatnonzero(bucket == k)
         if width > MATRIX_BYTES:
-            for k in members:
-                raw = np.frombuffer(cuts[k], np.uint8).reshape(1, -1)
-                out[k] = merge_one(start(raw, np.array([raw.shape[1]]))[0], pairs, merged)
+            for m in members.tolist():
+                cut = raw[first[m] : first[m] + size[m]].reshape(1, -1)
+                ids = np.frombuffer(merge_one(start(cut, size[m : m + 1])[0], pairs, merged), "<u4")
+                done.append((np.array([m]), np.array([len(ids)]), ids))
             continue
         step = max(1, MATRIX_CELLS // width)
         for at in range(0, len(members), step):
             part = members[at : at + step]
-            raw = np.frombuffer(b"".join(cuts[k].ljust(width, b"\0") for k in part), np.uint8).reshape(-1, width)
-            size = np.array([len(cuts[k]) for k in part])
-            ids = start(raw, size)
-            ids[np.arange(width) >= size[:, None]] = -1
-            merge_rows(ids, size, part, pairs, merged, out)
-    return out
-
-
-def merge_rows(ids: np.ndarray, size: np.ndarray, members: list[int], pairs: PairTable, merged: np.ndarray, out: list[bytes]) -> None:
-    """Every round each row merges its leftmost pair of least rank and closes up; finished rows leave."""
-    rows = np.array(members)
+            n = size[part]
+            inside = np.arange(width) < n[:, None]
+            at_byte = first[part][:, None] + np.arange(width)
+            ids = start(raw[np.where(inside, at_byte, first[part][:, None])], n)
+            ids[~inside] = -1
+            merge_rows(ids, n, part, pairs, merged, done)
+    count = np.zeros(len(size), np.int64)
+    for members, n, _ in done:
+        count[members] = n
+    begin = np.cumsum(count) - count
+    out = np.empty(int(count.sum()), np.uint32)
+    for members, n, ids in done:
+        out[np.repeat(begin[members] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+    return out, count
+
+
+def merge_rows(ids: np.ndarray, size: np.ndarray, rows: np.ndarray, pairs: PairTable, merged: np.ndarray, done: list) -> None:
+    """Every round each row merges its leftmost pair of least rank and closes up; finished rows leave for done."""
     ranks = pairs.look_up(ids[:, :-1], ids[:, 1:])
     while True:
         if ranks.shape[1]:
@@ -93,11 +107,11 @@ def merge_rows(ids: np.ndarray, size: np.ndarray, members: list[int], pairs: Pai
             best = ranks[np.arange(len(rows)), place]
         else:
             place, best = np.zeros(len(rows), np.int64), np.full(len(rows), NONE)
-        done = best == NONE
-        if done.any():
-            for k, row, n in zip(rows[done].tolist(), ids[done].astype("<u4"), size[done].tolist(), strict=True):
-                out[k] = row[:n].tobytes()
-            keep = ~done
+        over = best == NONE
+        if over.any():
+            left = ids[over]
+            done.append((rows[over], size[over], left[left >= 0]))
+            keep = ~over
             rows, ids, ranks, size, place, best = rows[keep], ids[keep], ranks[keep], size[keep], place[keep], best[keep]
         if not len(rows):
             return

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from .tables import ensure_checkpoint_dir, partitions_for
-from .words import encoder
+from .words import cut, encoder
 
 CAPACITY = 4096
 END_ID = 1
@@ -45,26 +45,19 @@ PLACED = PIECES + ", sequence_id long, offset long"
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Each document's ids and end_id, cut every ``capacity`` ids."""
 
-    def cut(batches):
+    def run(batches):
         own = encoder(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows: dict[str, list] = defaultdict(list)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), own.ids_bytes(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows["doc_id"].append(doc_id)
-                    rows["piece"].append(k)
-                    rows["start"].append(at // 4)
-                    rows["length"].append(len(part) // 4)
-                    rows["ids_crc32"].append(zlib.crc32(part))
-            if rows:
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
+            ids, bounds = own.documents(batch.column(1), end_id)
+            doc, piece, first = cut(bounds, capacity)
+            last = np.append(first[1:], bounds[-1])
+            raw = memoryview(ids.astype("<u4")).cast("B")
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(first - bounds[doc]), pa.array(last - first), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
 def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -109,13 +102,13 @@ def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(plan, np.int64).reshape(-1, 5)
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces. Offsets of a sequence leave no gap from 0."""
-    spark = cut.sparkSession
+    spark = cuts.sparkSession
     ensure_checkpoint_dir(spark)
-    cut = cut.checkpoint()
+    cuts = cuts.checkpoint()
     order = [F.col("length").desc(), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
-    ranked = cut.repartitionByRange(partitions_for(spark), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).checkpoint()
+    ranked = cuts.repartitionByRange(partitions_for(spark), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).checkpoint()
     # At most one row for each length and one more for each partition.
     found = ranked.groupBy(F.shiftright("at", 33).alias("part"), "length").agg(F.count("*").alias("n")).collect()
     lengths: dict[int, int] = defaultdict(int)

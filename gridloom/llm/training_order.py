@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import ensure_checkpoint_dir, partitions_for, scratch_dir
-from .words import encoder
+from .words import cut, encoder
 
 STRIDE = 512
 ROWS_PER_SHARD = 4096
@@ -73,19 +73,18 @@ def permuted(index: np.ndarray, count: int, key: int = KEY) -> np.ndarray:
 def sequences(docs: DataFrame, tokenizer_path: str, stride: int = STRIDE) -> DataFrame:
     """(doc_id, piece, n_tokens, payload): each document's ids and the end token, cut every ``stride`` ids."""
 
-    def cut(batches):
-        own, end = encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
+    def run(batches):
+        own = encoder(tokenizer_path)
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), own.ids_bytes(batch.column(1).to_pylist()), strict=True):
-                short = np.frombuffer(ids + end, "<u4").astype("<u2")
-                for k, at in enumerate(range(0, len(short), stride)):
-                    part = short[at : at + stride]
-                    for held, value in zip(rows, (doc_id, k, len(part), part.tobytes()), strict=True):
-                        held.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "piece", "n_tokens", "payload"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, n_tokens int, payload binary")
+            ids, bounds = own.documents(batch.column(1), END_ID)
+            if len(ids) and ids.max() > 0xFFFF:
+                raise ValueError("ids beyond 65535 do not fit the shards' two bytes")
+            doc, piece, first = cut(bounds, stride)
+            places = np.append(first, bounds[-1])
+            payload = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((2 * places).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(np.diff(places).astype(np.int32)), payload], names=["doc_id", "piece", "n_tokens", "payload"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, n_tokens int, payload binary")
 
 
 def in_blocks(table: DataFrame, key: int = KEY, rows: int = ROWS_PER_SHARD) -> tuple[DataFrame, int]:

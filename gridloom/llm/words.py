@@ -2,25 +2,30 @@
 
 Such a tokenizer drops white space, so a text's ids are the ids of its
 white-space-separated words put end to end, and each distinct word needs encoding
-once. Words of Latin letters, which make up the bulk, are split and merged here in
-numpy matrices from the vocabulary and merges of the tokenizer file; all others go
-through the tokenizers library itself. Both give the library's ids.
+once. Arrow splits a chunk of texts and numbers its distinct words; those are looked
+up among the known ones, the rest encoded, and the ids of all words gathered by
+number, without a Python object for a word that is known. Words of Latin letters,
+which make up the bulk, are split and merged here in numpy matrices from the
+vocabulary and merges of the tokenizer file; all others go through the tokenizers
+library itself. Both give the library's ids.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .memo import Memo
-from .merging import PairTable, merge_all
+from .merging import PairTable, merge_flat
 
-#: Words and parts of words remembered by a worker (about 200 bytes each).
-MAX_CACHED_WORDS, MAX_CACHED_PARTS = 250_000, 100_000
+#: Distinct words and parts of words that a worker knows at most (about 40 bytes each).
+MAX_WORDS, MAX_PARTS = 600_000, 300_000
 #: Bytes of text whose words are looked up together.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 23
 #: Words with a character from here on go through the library: its Unicode tables decide.
 FIRST_OTHER = "ɐ"
 
@@ -37,8 +42,43 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(kept) else chr(256 + rest.index(b)) for b in range(256)]
 
 
+def gathered(ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The stretches ids[first : first + count], end to end."""
+    return ids[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+
+
+class Known:
+    """Distinct strings and the ids each encodes to; begins afresh when it holds more than ``most``."""
+
+    def __init__(self, compute: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int):
+        self.compute, self.most = compute, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.strings = pa.array([], pa.string())
+        self.ids, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def encode(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings end to end, and how many each has."""
+        coded = strings.dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=self.strings)
+        missing = place.is_null()
+        if place.null_count:
+            new = coded.dictionary.filter(missing)
+            if len(self.strings) + len(new) > self.most:
+                self.clear()
+                new = coded.dictionary
+            ids, count = self.compute(new)
+            self.strings = pa.concat_arrays([self.strings, new])
+            self.ids, self.count = np.concatenate([self.ids, ids]), np.concatenate([self.count, count])
+            place = pc.index_in(coded.dictionary, value_set=self.strings)
+        at = place.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)]
+        first = np.cumsum(self.count) - self.count
+        return gathered(self.ids, first[at], self.count[at]), self.count[at]
+
+
 class WordEncoder:
-    """ids_bytes(texts): each text's ids as little-endian unsigned 32-bit integers."""
+    """encode(texts): the ids of all texts end to end, and how many each has."""
 
     def __init__(self, path: str):
         import regex
@@ -49,7 +89,11 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
-        model, (_, split_rule) = held["model"], (None, held["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        rules = [x["pattern"]["Regex"] for x in held["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split" and x["invert"]]
+        normal = [x["type"] for x in held["normalizer"]["normalizers"]]
+        model = held["model"]
+        if len(rules) != 1 or normal != ["NFC", "Replace", "Lowercase"] or not model["end_of_word_suffix"]:
+            raise ValueError(f"{path} is not a lower-casing word BPE")
         self.special = [x["content"].encode() for x in held["added_tokens"]]
         vocab, end, letters = model["vocab"], model["end_of_word_suffix"], byte_letters()
         self.inner = np.array([vocab[x] for x in letters], np.int32)
@@ -57,40 +101,67 @@ class WordEncoder:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.pairs = PairTable(np.array([vocab[a] for a, _ in merges]), np.array([vocab[b] for _, b in merges]), np.arange(len(merges), dtype=np.int32))
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
-        self.findall = regex.compile(split_rule + r"|\n").findall
-        self.words = Memo(self._encode_words, MAX_CACHED_WORDS)
-        self.parts = Memo(self._encode_parts, MAX_CACHED_PARTS)
+        self.findall = regex.compile(rules[0] + r"|\n").findall
+        self.words = Known(self._encode_words, MAX_WORDS)
+        self.parts = Known(self._encode_parts, MAX_PARTS)
 
-    def ids_bytes(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Null and empty texts give no ids."""
-        out, held, size = [], [], 0
-        for text in texts:
-            held.append((text or "").encode("utf-8", "replace").split())
-            size += len(text or "")
-            if size >= CHUNK_BYTES:
-                out += self.words.join(held)
-                held, size = [], 0
-        return out + self.words.join(held)
-
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        texts = b"\n".join(words).decode().split("\n") if words else []
-        plain = range(len(texts))
-        others = {}
-        if texts and (max(map(max, texts)) >= FIRST_OTHER or any(x in b"\n".join(words) for x in self.special)):
-            others = {k: x for k, x in enumerate(texts) if max(x) >= FIRST_OTHER or any(y in words[k] for y in self.special)}
-            plain = [k for k in plain if k not in others]
-        parts = self.findall("\n".join([texts[k] for k in plain]).lower() + "\n") if plain else []
-        ends = [k for k, x in enumerate(parts) if x == "\n"]
-        out = [b""] * len(words)
-        for k, ids in zip(plain, self.parts.join([parts[a + 1 : b] for a, b in zip([-1, *ends], ends, strict=False)]), strict=True):
-            out[k] = ids
-        for k, text in others.items():
-            out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
-
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        cuts = [x.encode() for x in parts]
-        return merge_all(cuts, self._start, self.pairs, self.merged)
+        texts = texts.cast(pa.string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = [0, *(1 + np.flatnonzero(np.diff(ends // CHUNK_BYTES))).tolist(), len(texts)]
+        ids, count = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            lists = pc.ascii_split_whitespace(texts.slice(a, b - a))
+            if not len(lists):
+                continue
+            found, each = self.words.encode(lists.flatten())
+            upto = np.concatenate([[0], np.cumsum(each)])
+            bounds = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+            ids.append(found)
+            count.append(np.diff(upto[bounds - bounds[0]]))
+        return np.concatenate(ids), np.concatenate(count)
+
+    def documents(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts with end_id after each, and the bounds of the texts therein."""
+        ids, count = self.encode(texts)
+        bounds = np.concatenate([[0], np.cumsum(count + 1)])
+        out = np.full(len(ids) + len(count), end_id, np.uint32)
+        inside = np.ones(len(out), bool)
+        inside[bounds[1:] - 1] = False
+        out[inside] = ids
+        return out, bounds
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        # Latin letters alone are lower-cased and composed alike here and there.
+        other = pc.match_substring_regex(words, f"[^\\x00-{chr(ord(FIRST_OTHER) - 1)}]").to_numpy(zero_copy_only=False)
+        for special in self.special:
+            other = other | pc.match_substring(words, special.decode()).to_numpy(zero_copy_only=False)
+        plain = words.filter(pa.array(~other))
+        parts = pa.array(self.findall("\n".join(plain.to_pylist()).lower() + "\n") if len(plain) else [], pa.string())
+        stop = pc.equal(parts, "\n").to_numpy(zero_copy_only=False)
+        ids, each = self.parts.encode(parts.filter(pa.array(~stop)))
+        if not other.any():
+            return ids, self._by_word(each, stop)
+        count = np.zeros(len(words), np.int64)
+        count[~other] = self._by_word(each, stop)
+        foreign = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in words.filter(pa.array(other)).to_pylist()]
+        count[other] = [len(x) for x in foreign]
+        out, is_other = np.empty(int(count.sum()), np.uint32), np.repeat(other, count)
+        out[~is_other], out[is_other] = ids, np.concatenate(foreign)
+        return out, count
+
+    @staticmethod
+    def _by_word(each: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Counts of ids of parts put together to words, which end at the stops."""
+        of_part = np.zeros(len(stop), np.int64)
+        of_part[~stop] = each
+        return np.diff(np.cumsum(of_part)[stop], prepend=0)
+
+    def _encode_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        bounds = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1].astype(np.int64)
+        raw = np.frombuffer(parts.buffers()[2] or b"", np.uint8)
+        return merge_flat(raw, bounds[:-1], np.diff(bounds), self._start, self.pairs, self.merged)
 
     def _start(self, raw: np.ndarray, size: np.ndarray) -> np.ndarray:
         ids = self.inner[raw]
@@ -104,3 +175,11 @@ def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
+
+
+def cut(bounds: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches between bounds cut every ``most`` from their start: (number of the stretch, number of the piece therein, first place), by place."""
+    each = -(-np.diff(bounds) // most)
+    stretch = np.repeat(np.arange(len(each)), each)
+    piece = np.arange(len(stretch)) - np.repeat(np.cumsum(each) - each, each)
+    return stretch, piece, bounds[stretch] + piece * most
