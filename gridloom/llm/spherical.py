@@ -190,6 +190,6 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataF
     edges = found.select("id", "root").distinct().join(names.withColumnRenamed("least", "a"), "id").join(names.toDF("root", "b"), "root")
     roots = connected_components(edges.select("a", "b")).toDF("least", "root")
     of_unit = units.select("same", "id", "least", "weight").join(links, "id", "left").join(roots, "least", "left")
-    of_unit = of_unit.select("same", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "least").alias("component_id")).checkpoint()
+    of_unit = of_unit.select("same", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "least").alias("component_id"))
     out = rows.select("vec_id", "same").join(of_unit, "same", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
