@@ -19,12 +19,9 @@ def nodal(n: int) -> int:
 
 
 def depth(dims: Sequence[int], levels: int | None = None) -> int:
-    """Levels that are taken of those asked for: an axis of 2 or less is not split."""
-    most = 0
-    shape = check_dims(dims)
-    while min(shape) > 2:
-        shape = [nodal(n) for n in shape]
-        most += 1
+    """Levels that are taken of those asked for: at most the whole part of the binary logarithm of the shortest axis, and none where that is 2 or less."""
+    shortest = min(check_dims(dims))
+    most = shortest.bit_length() - 1 if shortest > 2 else 0
     return most if levels is None else max(0, min(levels, most))
 
 

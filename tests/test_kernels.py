@@ -52,6 +52,42 @@ def test_linearity():
     np.testing.assert_allclose(kernels.decompose(2 * a + b, None, True), 2 * kernels.decompose(a, None, True) + kernels.decompose(b, None, True), atol=1e-11)
 
 
+#: Levels by the shortest axis, written out by hand.
+LEVELS = {1: 0, 2: 0, 3: 1, 4: 2, 5: 2, 6: 2, 7: 2, 8: 3, 9: 3, 10: 3, 11: 3, 12: 3, 13: 3, 14: 3, 15: 3, 16: 4, 17: 4, 18: 4, 19: 4, 20: 4, 63: 5, 64: 6}
+
+
+@pytest.mark.parametrize(("n", "levels"), LEVELS.items())
+def test_depth_by_hand(n, levels):
+    assert depth((n,)) == depth((n, 70)) == depth((80, n, 90)) == levels
+    assert depth((n,), 1) == min(1, levels)
+    assert all(m > 2 for shape in level_dims((n,), levels)[1:] for m in shape)
+
+
+def test_six_points_by_hand():
+    """Two levels: 6 to 4 to 3 values."""
+    y = kernels.decompose(np.array([[1, 4, 2, 5, 3, 7.0]]), None, True)[0]
+    np.testing.assert_allclose(y[:3], [2.48, 3.79, 17.60], atol=0.01)
+    np.testing.assert_allclose(kernels.recompose(y[None], None, True)[0], [1, 4, 2, 5, 3, 7], atol=1e-12)
+
+
+@pytest.mark.parametrize("shape", [(9,), (6, 7), (5, 4, 6)])
+def test_restriction(shape):
+    """Along each axis: a node gains half of the coefficients beside it; of the last axis, only in nodal rows of the axis before."""
+    x = np.random.default_rng(8).standard_normal((2, *shape))
+    want, last = x.copy(), len(shape) - 1
+    for axis in range(last, -1, -1):
+        within = [nodal(n) if k > axis or (axis == last and k == last - 1) else n for k, n in enumerate(shape)]
+        m, before = nodal(shape[axis]), want.copy()
+        for at in np.ndindex(2, *shape):
+            k, at_ = at[axis + 1], list(at)
+            if k <= shape[axis] - m and all(at[j + 1] < n for j, n in enumerate(within) if j != axis):
+                for c in (k - 1, k):
+                    if 0 <= c < shape[axis] - m:
+                        at_[axis + 1] = m + c
+                        want[at] += before[tuple(at_)] / 2
+    np.testing.assert_allclose(kernels.restriction(x), want, atol=1e-14)
+
+
 def test_levels():
     assert [s[0] for s in level_dims((64,), 6)][::-1] == [64, 33, 17, 9, 5, 3, 2]
     assert (depth((64,)), depth((8, 8)), depth((2,)), depth((1, 9)), depth((3, 9), 5)) == (6, 3, 0, 0, 1)
