@@ -1,10 +1,12 @@
 """Operators on grids in block form: one row per grid, its values row-major in one array column.
 
 Every operator is a projection: no shuffle, and grids spread over the cluster as rows
-do. The transforms over all levels run by default on numpy stacks in Arrow batches,
-measured ten times faster than ``strategy="expressions"``, which stays inside
-Catalyst and gives the same bits; the single-step operators are expressions.
-Grids larger than an executor's memory go through ``gridloom.operators.tiles``.
+do. The transforms run by default on numpy stacks in Arrow batches, measured ten times
+faster than ``strategy="expressions"``, which stays inside Catalyst and gives the same
+bits. Grids larger than an executor's memory go through ``gridloom.operators.tiles``.
+
+The transforms also act on a box inside a larger array: ``buffer`` is the array's shape,
+``origin`` the box's first point, and what lies outside the box stays as it is.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from gridloom.plans.dialect import SPARK
 
 from . import kernels
 
-BASES = ("l2", "hierarchical")
+BASES, STRATEGIES = ("l2", "hierarchical"), ("arrow", "expressions")
 
 
 def is_l2(basis: str) -> bool:
@@ -46,16 +48,40 @@ def _apply(df: DataFrame, dims: Sequence[int], data: str, formula) -> DataFrame:
     return df.withColumn(data, checked(data, dims)).withColumn(data, F.expr(formula(f"`{data}`")))
 
 
-def _by_level(df: DataFrame, dims: Sequence[int], data: str, shapes: Iterable[Sequence[int]], level) -> DataFrame:
+def _step(df: DataFrame, dims: Sequence[int], data: str, strategy: str, kernel, formula) -> DataFrame:
+    """One step on whole grids, by a kernel on stacks or a formula."""
+    dims = check_dims(dims)
+    return _arrow(df, dims, data, kernel, "double") if is_arrow(strategy) else _apply(df, dims, data, formula)
+
+
+def is_arrow(strategy: str) -> bool:
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy is one of {STRATEGIES}, not {strategy!r}")
+    return strategy == "arrow"
+
+
+def placed(dims: Sequence[int], buffer: Sequence[int] | None, origin: Sequence[int] | None) -> tuple[list[int], list[int], list[int]]:
+    """(dims, buffer, origin) of a box that lies inside its buffer."""
+    dims = check_dims(dims)
+    buffer = check_dims(buffer or dims)
+    origin = [int(o) for o in origin] if origin else [0] * len(dims)
+    if not len(dims) == len(buffer) == len(origin) or any(o < 0 or o + n > size for o, n, size in zip(origin, dims, buffer, strict=True)):
+        raise ValueError(f"a box of {dims} at {origin} does not lie inside {buffer}")
+    return dims, buffer, origin
+
+
+def _by_level(df: DataFrame, buffer: Sequence[int], origin: Sequence[int], data: str, shapes: Iterable[Sequence[int]], level) -> DataFrame:
     """One projection per level: nested in one expression, levels would exceed the analyzer's iterations."""
-    df, a = df.withColumn(data, checked(data, dims)), f"`{data}`"
+    df, a = df.withColumn(data, checked(data, buffer)), f"`{data}`"
     for shape in shapes:
         x = formulas.fresh("g")
-        df = df.withColumn(data, F.expr(SPARK.let(x, a, formulas.put_box(SPARK, x, dims, shape, level(formulas.box(SPARK, x, dims, shape), shape)))))
+        df = df.withColumn(data, F.expr(SPARK.let(x, a, formulas.put_box(SPARK, x, buffer, shape, level(formulas.box(SPARK, x, buffer, shape, origin), shape), origin))))
     return df
 
 
 def _arrow(df: DataFrame, dims: Sequence[int], data: str, kernel, dtype: str) -> DataFrame:
+    if dtype not in ("double", "float"):
+        raise ValueError(f"dtype is double or float, not {dtype!r}")
     place = df.columns.index(data)
     kind = T.ArrayType(T.FloatType() if dtype == "float" else T.DoubleType())
     schema = T.StructType([T.StructField(f.name, kind if f.name == data else f.dataType) for f in df.schema])
@@ -76,26 +102,51 @@ def _arrow(df: DataFrame, dims: Sequence[int], data: str, kernel, dtype: str) ->
     return df.withColumn(data, checked(data, dims)).mapInArrow(run, schema)
 
 
-def decompose(df: DataFrame, dims: Sequence[int], levels: int | None = None, basis: str = "l2", data: str = "data", strategy: str = "arrow", dtype: str = "double") -> DataFrame:
+def _inside(kernel, dims: Sequence[int], buffer: Sequence[int], origin: Sequence[int]):
+    """The kernel on the box alone of stacks of buffers."""
+    if list(dims) == list(buffer):
+        return kernel
+    at = (slice(None), *(slice(o, o + n) for o, n in zip(origin, dims, strict=True)))
+
+    def run(x: np.ndarray) -> np.ndarray:
+        x = x.copy()
+        x[at] = kernel(x[at])
+        return x
+
+    return run
+
+
+def decompose(df: DataFrame, dims: Sequence[int], levels: int | None = None, basis: str = "l2", data: str = "data", strategy: str = "arrow", dtype: str = "double", buffer: Sequence[int] | None = None, origin: Sequence[int] | None = None) -> DataFrame:
     """The multilevel decomposition, laid out with the coarsest nodal values in the leading box.
 
-    Depth is clamped so that no axis of 2 is split. dtype "float" computes in single
-    precision (arrow strategy only).
+    Depth is clamped to the binary logarithm of the shortest axis. dtype "float"
+    computes in single precision (arrow strategy only).
     """
-    l2, dims = is_l2(basis), check_dims(dims)
-    if strategy == "arrow":
-        return _arrow(df, dims, data, lambda x: kernels.decompose(x, levels, l2), dtype)
+    l2, (dims, buffer, origin) = is_l2(basis), placed(dims, buffer, origin)
+    if is_arrow(strategy):
+        return _arrow(df, buffer, data, _inside(lambda x: kernels.decompose(x, levels, l2), dims, buffer, origin), dtype)
     shapes = level_dims(dims, depth(dims, levels))
-    return _by_level(df, dims, data, reversed(shapes[1:]), lambda a, shape: formulas.decompose_level(SPARK, a, shape, l2))
+    return _by_level(df, buffer, origin, data, reversed(shapes[1:]), lambda a, shape: formulas.decompose_level(SPARK, a, shape, l2))
 
 
-def recompose(df: DataFrame, dims: Sequence[int], levels: int | None = None, basis: str = "l2", data: str = "data", strategy: str = "arrow", dtype: str = "double") -> DataFrame:
+def recompose(df: DataFrame, dims: Sequence[int], levels: int | None = None, basis: str = "l2", data: str = "data", strategy: str = "arrow", dtype: str = "double", buffer: Sequence[int] | None = None, origin: Sequence[int] | None = None) -> DataFrame:
     """The inverse of decompose with the same arguments, exact up to rounding."""
-    l2, dims = is_l2(basis), check_dims(dims)
-    if strategy == "arrow":
-        return _arrow(df, dims, data, lambda x: kernels.recompose(x, levels, l2), dtype)
+    l2, (dims, buffer, origin) = is_l2(basis), placed(dims, buffer, origin)
+    if is_arrow(strategy):
+        return _arrow(df, buffer, data, _inside(lambda x: kernels.recompose(x, levels, l2), dims, buffer, origin), dtype)
     shapes = level_dims(dims, depth(dims, levels))
-    return _by_level(df, dims, data, shapes[1:], lambda a, shape: formulas.recompose_level(SPARK, a, shape, l2))
+    return _by_level(df, buffer, origin, data, shapes[1:], lambda a, shape: formulas.recompose_level(SPARK, a, shape, l2))
+
+
+def shapes_of(dims: Sequence[int], levels: int | None = None) -> list[list[int]]:
+    """Box sizes of the levels that are taken, coarsest first."""
+    return level_dims(dims, depth(dims, levels))
+
+
+def copy_box(df: DataFrame, dims: Sequence[int], buffer: Sequence[int], origin: Sequence[int] | None = None, data: str = "data") -> DataFrame:
+    """The box as a grid of its own."""
+    dims, buffer, origin = placed(dims, buffer, origin)
+    return _apply(df, buffer, data, lambda a: formulas.box(SPARK, a, buffer, dims, origin))
 
 
 def progressive(df: DataFrame, dims: Sequence[int], upto: int, levels: int | None = None, basis: str = "l2", data: str = "data") -> DataFrame:
@@ -106,38 +157,38 @@ def progressive(df: DataFrame, dims: Sequence[int], upto: int, levels: int | Non
     return recompose(_apply(df, dims, data, lambda a: formulas.box(SPARK, a, dims, shapes[upto])), shapes[upto], upto, basis, data)
 
 
-def reorder(df: DataFrame, dims: Sequence[int], data: str = "data") -> DataFrame:
+def reorder(df: DataFrame, dims: Sequence[int], data: str = "data", strategy: str = "arrow") -> DataFrame:
     """Nodal values to the front of every axis; an even axis gains its extrapolated point in the last one's place."""
-    return _apply(df, dims, data, lambda a: formulas.reorder(SPARK, a, dims))
+    return _step(df, dims, data, strategy, kernels.reorder, lambda a: formulas.reorder(SPARK, a, dims))
 
 
-def unreorder(df: DataFrame, dims: Sequence[int], data: str = "data") -> DataFrame:
-    return _apply(df, dims, data, lambda a: formulas.unreorder(SPARK, a, dims))
+def unreorder(df: DataFrame, dims: Sequence[int], data: str = "data", strategy: str = "arrow") -> DataFrame:
+    return _step(df, dims, data, strategy, kernels.unreorder, lambda a: formulas.unreorder(SPARK, a, dims))
 
 
-def residual(df: DataFrame, dims: Sequence[int], data: str = "data", inverse: bool = False) -> DataFrame:
+def residual(df: DataFrame, dims: Sequence[int], data: str = "data", inverse: bool = False, strategy: str = "arrow") -> DataFrame:
     """Interpolation residuals of a reordered grid, or values from them."""
-    return _apply(df, dims, data, lambda a: formulas.residual(SPARK, a, dims, "+" if inverse else "-"))
+    return _step(df, dims, data, strategy, lambda x: kernels.residual(x, 1 if inverse else -1), lambda a: formulas.residual(SPARK, a, dims, "+" if inverse else "-"))
 
 
-def load_vector(df: DataFrame, dims: Sequence[int], axis: int, data: str = "data") -> DataFrame:
+def load_vector(df: DataFrame, dims: Sequence[int], axis: int, data: str = "data", strategy: str = "arrow") -> DataFrame:
     """Load vector along one axis of a reordered grid; the axis shrinks to its nodal points."""
-    return _apply(df, dims, data, lambda a: formulas.load_axis(SPARK, a, dims, axis))
+    return _step(df, dims, data, strategy, lambda x: kernels.load_axis(x, axis + 1), lambda a: formulas.load_axis(SPARK, a, dims, axis))
 
 
-def mass_solve(df: DataFrame, dims: Sequence[int], axis: int, data: str = "data") -> DataFrame:
+def mass_solve(df: DataFrame, dims: Sequence[int], axis: int, data: str = "data", strategy: str = "arrow") -> DataFrame:
     """Tridiagonal solve with the mass matrix along one axis."""
-    return _apply(df, dims, data, lambda a: formulas.solve_axis(SPARK, a, dims, axis))
+    return _step(df, dims, data, strategy, lambda x: kernels.solve_axis(x, axis + 1), lambda a: formulas.solve_axis(SPARK, a, dims, axis))
 
 
-def l2_correction(df: DataFrame, dims: Sequence[int], data: str = "data") -> DataFrame:
+def l2_correction(df: DataFrame, dims: Sequence[int], data: str = "data", strategy: str = "arrow") -> DataFrame:
     """Correction of the nodal corner from the residuals of a reordered grid."""
-    return _apply(df, dims, data, lambda a: formulas.correction(SPARK, a, dims))
+    return _step(df, dims, data, strategy, kernels.correction, lambda a: formulas.correction(SPARK, a, dims))
 
 
-def restriction(df: DataFrame, dims: Sequence[int], data: str = "data") -> DataFrame:
+def restriction(df: DataFrame, dims: Sequence[int], data: str = "data", strategy: str = "arrow") -> DataFrame:
     """Restriction of a reordered grid onto its nodal values, coefficients left in place."""
-    return _apply(df, dims, data, lambda a: formulas.restriction(SPARK, a, dims))
+    return _step(df, dims, data, strategy, kernels.restriction, lambda a: formulas.restriction(SPARK, a, dims))
 
 
 def dot_product(df: DataFrame, size: int, left: str, right: str, out: str = "dot") -> DataFrame:

@@ -86,10 +86,39 @@ def correction(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def decompose_level(x: np.ndarray, l2: bool) -> np.ndarray:
+def reorder(x: np.ndarray) -> np.ndarray:
     for axis in range(x.ndim - 1, 0, -1):
         x = reorder_axis(x, axis)
-    x = residual(x, -1)
+    return x
+
+
+def unreorder(x: np.ndarray) -> np.ndarray:
+    for axis in range(x.ndim - 1, 0, -1):
+        x = unreorder_axis(x, axis)
+    return x
+
+
+def restriction(x: np.ndarray) -> np.ndarray:
+    """Half of each neighbouring coefficient onto the nodal values, axis by axis; the last axis in nodal rows of the axis before alone."""
+    x, shape = x.copy(), x.shape[1:]
+    ms, last = [nodal(n) for n in shape], len(shape) - 1
+    for axis in range(last, -1, -1):
+        within = [ms[k] if k > axis or (axis == last and k == last - 1) else n for k, n in enumerate(shape)]
+        at = (slice(None), *(slice(None) if k == axis else slice(0, n) for k, n in enumerate(within)))
+        y, m, c = x[at], ms[axis], shape[axis] - ms[axis]
+        if not c:
+            continue
+        coef = part(y, axis + 1, m, m + c)
+        out = y.copy()
+        part(out, axis + 1, 0, 1)[...] += part(coef, axis + 1, 0, 1) / 2
+        part(out, axis + 1, 1, c)[...] += (part(coef, axis + 1, 0, c - 1) + part(coef, axis + 1, 1, c)) / 2
+        part(out, axis + 1, c, c + 1)[...] += part(coef, axis + 1, c - 1, c) / 2
+        x[at] = out
+    return x
+
+
+def decompose_level(x: np.ndarray, l2: bool) -> np.ndarray:
+    x = residual(reorder(x), -1)
     if l2:
         x[corner(x)] += correction(x)
     return x
@@ -99,10 +128,7 @@ def recompose_level(x: np.ndarray, l2: bool) -> np.ndarray:
     x = x.copy()
     if l2:
         x[corner(x)] -= correction(x)
-    x = residual(x, 1)
-    for axis in range(x.ndim - 1, 0, -1):
-        x = unreorder_axis(x, axis)
-    return x
+    return unreorder(residual(x, 1))
 
 
 def decompose(x: np.ndarray, levels: int | None, l2: bool) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import prod
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.plans.dialect import SPARK, Dialect
@@ -53,3 +53,13 @@ def long_statistics(df: DataFrame, original: str = "v", decoded: str = "w") -> D
         F.avg(error * error).alias("mse"),
     )
     return agg.withColumn("psnr", F.when(F.col("mse") > 0, 20 * F.log10((F.col("max_value") - F.col("min_value")) / F.sqrt("mse"))))
+
+
+def thresholded(data: str, threshold: float) -> Column:
+    """The array with values below the threshold, either sign, as 0."""
+    return F.transform(data, lambda x: F.when(F.abs(x) < threshold, F.lit(0.0)).otherwise(x))
+
+
+def sparse_bytes(data: str, element_bytes: int = 8) -> Column:
+    """Bytes of an array stored as its values other than 0 and a bit for each place."""
+    return element_bytes * F.size(F.filter(data, lambda x: x != 0)) + F.ceil(F.size(data) / 8)

@@ -8,13 +8,15 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class Dialect:
     name: str
+    #: Type of the grids' values in DuckDB; Spark's expressions are in double precision.
+    real: str = "double"
 
     @property
     def spark(self) -> bool:
         return self.name == "spark"
 
     def number(self, x: float) -> str:
-        return f"{x!r}D" if self.spark else f"({x!r}::double)"
+        return f"{x!r}D" if self.spark else f"({x!r}::double)" if self.real == "double" else f"({x!r}::double::{self.real})"
 
     def numbers(self, xs: list[float]) -> str:
         return f"array({', '.join(map(self.number, xs))})" if self.spark else f"[{', '.join(map(self.number, xs))}]"
@@ -56,4 +58,4 @@ class Dialect:
         return f"aggregate({array}, 0.0D, (acc, x) -> acc + x)" if self.spark else f"list_reduce(list_prepend(0.0::double, {array}), lambda acc, x: acc + x)"
 
 
-SPARK, DUCKDB = Dialect("spark"), Dialect("duckdb")
+SPARK, DUCKDB, DUCKDB_FLOAT = Dialect("spark"), Dialect("duckdb"), Dialect("duckdb", "float")

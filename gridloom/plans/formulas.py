@@ -12,7 +12,7 @@ import math
 from collections.abc import Sequence
 from itertools import count, product
 
-from gridloom.functions.levels import depth, level_dims, nodal, strides, thomas_factors
+from gridloom.functions.levels import level_dims, nodal, strides, thomas_factors
 
 from .dialect import Dialect
 
@@ -181,33 +181,35 @@ def recompose_level(d: Dialect, a: str, shape: Sequence[int], l2: bool) -> str:
     return unreorder(d, residual(d, a, shape, "+"), shape)
 
 
-def box(d: Dialect, a: str, shape: Sequence[int], inner: Sequence[int]) -> str:
-    """The leading box of an array."""
-    return a if list(shape) == list(inner) else over(d, a, inner, lambda x, p, c: d.at(x, index(c, shape)))
+def box(d: Dialect, a: str, shape: Sequence[int], inner: Sequence[int], origin: Sequence[int] | None = None) -> str:
+    """The box of an array that begins at origin, by default the leading one."""
+    origin = origin or [0] * len(shape)
+    return a if list(shape) == list(inner) else over(d, a, inner, lambda x, p, c: d.at(x, index([f"{k} + {o}" if o else k for k, o in zip(c, origin, strict=True)], shape)))
 
 
-def put_box(d: Dialect, a: str, shape: Sequence[int], inner: Sequence[int], value: str) -> str:
-    """The array with its leading box replaced."""
+def put_box(d: Dialect, a: str, shape: Sequence[int], inner: Sequence[int], value: str, origin: Sequence[int] | None = None) -> str:
+    """The array with that box replaced."""
     if list(shape) == list(inner):
         return value
-    v = fresh("v")
-    return d.let(v, value, over(d, a, shape, lambda x, p, c: f"case when {' and '.join(f'{k} < {n}' for k, n in zip(c, inner, strict=True))} then {d.at(v, index(c, inner))} else {d.at(x, p)} end"))
+    v, origin = fresh("v"), origin or [0] * len(shape)
+    inside = lambda c: " and ".join(f"{k} >= {o} and {k} < {o + n}" if o else f"{k} < {n}" for k, n, o in zip(c, inner, origin, strict=True))
+    at = lambda c: index([f"{k} - {o}" if o else k for k, o in zip(c, origin, strict=True)], inner)
+    return d.let(v, value, over(d, a, shape, lambda x, p, c: f"case when {inside(c)} then {d.at(v, at(c))} else {d.at(x, p)} end"))
 
 
-def decompose(d: Dialect, a: str, dims: Sequence[int], levels: int | None = None, l2: bool = True) -> str:
-    taken = depth(dims, levels)
-    for shape in reversed(level_dims(dims, taken)[1:]):
+def decompose(d: Dialect, a: str, dims: Sequence[int], levels: int, l2: bool = True) -> str:
+    """Exactly so many levels: the caller sees to what the dims allow."""
+    for shape in reversed(level_dims(dims, levels)[1:]):
         x = fresh("g")
         a = d.let(x, a, put_box(d, x, dims, shape, decompose_level(d, box(d, x, dims, shape), shape, l2)))
     return a
 
 
-def recompose(d: Dialect, a: str, dims: Sequence[int], levels: int | None = None, l2: bool = True, upto: int | None = None) -> str:
+def recompose(d: Dialect, a: str, dims: Sequence[int], levels: int, l2: bool = True, upto: int | None = None) -> str:
     """The inverse; with ``upto``, only the box of that level, from the coefficients up to it."""
-    taken = depth(dims, levels)
-    shapes = level_dims(dims, taken)
-    upto = taken if upto is None else upto
-    if upto < taken:
+    shapes = level_dims(dims, levels)
+    upto = levels if upto is None else upto
+    if upto < levels:
         a, dims = box(d, a, dims, shapes[upto]), shapes[upto]
     for shape in shapes[1 : upto + 1]:
         x = fresh("g")
