@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom import catalogue
-from gridloom.operators import grid, kernels, statistics, tiles
+from gridloom.operators import banded, grid, kernels, statistics, tiles
 from gridloom.sources import raw
 from gridloom.streaming.grids import decompose_to_parquet
 
@@ -37,7 +37,7 @@ def test_expressions_equal_kernels(spark, dims, basis):
     np.testing.assert_allclose(values(back), x.reshape(3, -1), atol=1e-12)
 
 
-@pytest.mark.parametrize("name", ["reorder_2d", "unreorder_3d_odd", "residual_2d_mixed", "l2_correction_2d", "restriction_2d_odd", "progressive_2d", "decomposed_form_2d", "roundtrip_stats_1d", "dot_product_3d", "operator_norm_3d", "levels_table", "thomas_factors", "hier_decompose_events_l1", "load_vector_vertical", "mass_solve"])
+@pytest.mark.parametrize("name", ["copy_box_2d_inner", "decompose_box_2d", "recompose_box_2d_inner", "float_decompose_2d", "raw_roundtrip_float", "print_matrix", "print_ragged", "depth_table", "banded_solve_1d", "large_roundtrip_2d", "compression_ratio_1d", "l2_decompose_1d_odd_full", "reorder_2d", "unreorder_3d_odd", "residual_2d_mixed", "l2_correction_2d", "restriction_2d_odd", "progressive_2d", "decomposed_form_2d", "roundtrip_stats_1d", "dot_product_3d", "operator_norm_3d", "levels_table", "thomas_factors", "hier_decompose_events_l1", "load_vector_vertical", "mass_solve"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in ("embeddings", "events"):
@@ -63,6 +63,62 @@ def test_tiles_equal_kernels(spark, dims):
     np.testing.assert_allclose(back["v"], x[0][tuple(back[f"i{k + 1}"] for k in range(len(dims)))], atol=1e-10)
 
 
+@pytest.mark.parametrize(("dims", "tile", "line"), [((400,), 64, 40), ((90, 130), 32, 20), ((33, 40, 50), 16, 8)])
+def test_small_stretches(spark, dims, tile, line):
+    """Lines solved in many short stretches, both bases, to full depth and back."""
+    x = np.random.default_rng(6).standard_normal((1, *dims))
+    cells = grid.to_long(frame(spark, x), dims)
+    for basis in grid.BASES:
+        got = tiles.decompose_large(cells, dims, 2, basis, tile=tile, line=line)
+        out = np.full(dims, np.nan)
+        for r in got.collect():
+            out[tuple([r["i1"], r["i2"], r["i3"]][: len(dims)])] = r["v"]
+        np.testing.assert_allclose(out, kernels.decompose(x, 2, basis == "l2")[0], atol=1e-11)
+        back = tiles.recompose_large(got, dims, 2, basis, tile=tile, line=line).toPandas()
+        np.testing.assert_allclose(back["v"], x[0][tuple(back[f"i{k + 1}"] for k in range(len(dims)))], atol=1e-10)
+
+
+def test_bad_cells_are_refused(spark):
+    cells = [(0, k, 0, 0, float(k)) for k in range(30)]
+    kind = "grid_id long, i1 long, i2 long, i3 long, v double"
+    for rows in (cells[:7] + cells[8:], [*cells, cells[3]], [*cells[:9], (0, 9, 0, 0, None), *cells[10:]]):
+        with pytest.raises(Exception, match="lacks cells or holds some twice|holds nulls"):
+            tiles.decompose_large(spark.createDataFrame(rows, kind), (30,), 1).collect()
+    with pytest.raises(ValueError, match="basis"):
+        tiles.decompose_large(spark.createDataFrame(cells, kind), (30,), 1, basis="L2 ")
+
+
+def test_banded_solve(spark):
+    x = np.random.default_rng(9).standard_normal((1, 300))
+    cells = grid.to_long(frame(spark, x), (300,))
+    got = banded.solve(cells, 300, stretch=64).orderBy("i1").collect()
+    np.testing.assert_allclose([r["v"] for r in got], kernels.solve_axis(x, 1)[0], atol=1e-12)
+    with pytest.raises(Exception, match="lacks points or holds some twice"):
+        banded.solve(cells.where("i1 <> 70"), 300, stretch=64).collect()
+
+
+@pytest.mark.parametrize("strategy", grid.STRATEGIES)
+def test_boxes(spark, strategy):
+    """A box inside a larger array is transformed as a grid of its own, the rest stays."""
+    x = np.random.default_rng(10).standard_normal((2, 7, 8))
+    want = x.copy()
+    want[:, 1:6, 2:8] = kernels.decompose(x[:, 1:6, 2:8], None, True)
+    got = grid.decompose(frame(spark, x), (5, 6), buffer=(7, 8), origin=(1, 2), strategy=strategy)
+    assert (values(got) == want.reshape(2, -1)).all()
+    back = grid.recompose(got, (5, 6), buffer=(7, 8), origin=(1, 2), strategy=strategy)
+    np.testing.assert_allclose(values(back), x.reshape(2, -1), atol=1e-12)
+    assert (values(grid.copy_box(frame(spark, x), (5, 6), (7, 8), (1, 2))) == x[:, 1:6, 2:8].reshape(2, -1)).all()
+    with pytest.raises(ValueError, match="does not lie inside"):
+        grid.decompose(frame(spark, x), (5, 6), buffer=(7, 8), origin=(3, 2))
+
+
+@pytest.mark.parametrize("step", ["reorder", "unreorder", "residual", "l2_correction", "restriction"])
+def test_steps_by_either_strategy(spark, step):
+    x = np.random.default_rng(12).standard_normal((3, 6, 5))
+    held = {s: values(getattr(grid, step)(frame(spark, x), (6, 5), strategy=s)) for s in grid.STRATEGIES}
+    assert (held["arrow"] == held["expressions"]).all()
+
+
 def test_bad_grids_are_refused(spark):
     for rows in ([(1, [1.0, None, 2.0])], [(1, [1.0])], [(1, None)]):
         with pytest.raises(Exception, match="grid needs"):
