@@ -1,9 +1,12 @@
 """Quality rules: fixed limits, then robust multivariate outliers per language and source.
 
 Text statistics, the minimum-covariance-determinant fit and the distances are all
-DataFrame expressions. Each group's fit starts from medians and quartile ranges and
-takes concentration steps: distances under the current centre and covariance, the
-nearest 75 % of the group's documents, their centre and covariance again. Ranks
+DataFrame expressions. Each group's fit has three deterministic starts: medians and
+quartile ranges, means and covariances of values clipped about them, and of all values.
+From each it takes PROBES concentration steps: distances under the current centre and
+covariance, the nearest 75 % of the group's documents, their centre and covariance again.
+The start whose covariance then has the least determinant goes on for STEPS more, which
+never raise it. Ranks
 come from histograms of quantized values and sums from integers, so a group is
 always pre-aggregated before it is shuffled, however many rows it holds, and the
 result does not depend on how rows are dealt. Groups under MIN_GROUP documents are
@@ -16,6 +19,8 @@ a row; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,7 +33,9 @@ WINDOW_WORDS = 8
 MIN_GROUP = 50
 #: Share of a group that the estimates rest on.
 SUBSET = 0.75
-STEPS = 4
+PROBES, STEPS = 2, 3
+#: Deviations from the median beyond which values are clipped in the second start.
+CLIP = 2.5
 #: Squared distance beyond which a document goes: the 0.9999999 quantile of chi-square with 5 degrees.
 CUTOFF = 40.86
 #: What a fit on the nearest 75 % of a normal cloud in 5 dimensions is scaled up by.
@@ -121,8 +128,8 @@ def distance(rows: DataFrame, prefix: str = "") -> Column:
     return sum((y * y for y in solved[1:]), solved[0] * solved[0])
 
 
-def factored(estimates: DataFrame) -> DataFrame:
-    """(pool, m_i, c_i_j) to (pool, m_i, l_i_j), each variance raised by its feature's floor."""
+def factored(estimates: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, m_i, c_i_j) to (keys, m_i, l_i_j), each variance raised by its feature's floor."""
     out = estimates
     for i, floor in enumerate(FEATURES.values()):
         for j in range(i + 1):
@@ -130,41 +137,69 @@ def factored(estimates: DataFrame) -> DataFrame:
             for k in range(j):
                 left = left - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             out = out.withColumn(f"l_{i}_{j}", F.sqrt(left) if i == j else left / F.col(f"l_{j}_{j}"))
-    return out.select("pool", *[f"m_{i}" for i in range(5)], *[f"l_{i}_{j}" for i in range(5) for j in range(i + 1)])
+    return out.select(*keys, *[f"m_{i}" for i in range(5)], *[f"l_{i}_{j}" for i in range(5) for j in range(i + 1)])
+
+
+def exact(c: Column) -> Column:
+    """A sum of whole numbers that no order of rows changes."""
+    return F.sum(c.cast("decimal(20,0)")).cast("double")
+
+
+def moments(rows: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """(keys, m_i, l_i_j) from the features of the rows of each key, covariances scaled."""
+    sums = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        *[exact(F.col(x)).alias(f"s_{i}") for i, x in enumerate(NAMES)],
+        *[exact(F.col(x) * F.col(NAMES[j])).alias(f"s_{i}_{j}") for i, x in enumerate(NAMES) for j in range(i + 1)],
+    )
+    means = {f"m_{i}": F.col(f"s_{i}") / F.col("n") / UNIT for i in range(5)}
+    covariances = {f"c_{i}_{j}": (F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"s_{i}") / F.col("n") * (F.col(f"s_{j}") / F.col("n"))) / UNIT / UNIT * scale for i in range(5) for j in range(i + 1)}
+    return factored(sums.withColumns(means | covariances), keys)
 
 
-def start(rows: DataFrame) -> DataFrame:
-    """Medians and quartile ranges of each feature, from counts of its distinct quantized values."""
+def starts(rows: DataFrame) -> DataFrame:
+    """(pool, start, m_i, l_i_j): the three starts of each pool."""
     cells = rows.select("pool", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.expr(f"{name} div 32").alias("bin")) for i, name in enumerate(NAMES)])).alias("x")).groupBy("pool", "x.i", "x.bin").count()
     order = Window.partitionBy("pool", "i").orderBy("bin")
     share = cells.withColumn("upto", F.sum("count").over(order) / F.sum("count").over(Window.partitionBy("pool", "i")))
     at = lambda q: F.min(F.when(F.col("upto") >= q, F.col("bin"))) * 32.0 / UNIT
     found = share.groupBy("pool", "i").agg(at(0.5).alias("mid"), ((at(0.75) - at(0.25)) / 1.349).alias("sd"))
-    first = found.groupBy("pool").agg(*[F.max(F.when(F.col("i") == i, F.col("mid"))).alias(f"m_{i}") for i in range(5)], *[F.max(F.when(F.col("i") == i, F.col("sd") * F.col("sd"))).alias(f"c_{i}_{i}") for i in range(5)])
-    return factored(first.withColumns({f"c_{i}_{j}": F.lit(0.0) for i in range(5) for j in range(i)}))
+    flat = found.groupBy("pool").agg(*[F.max(F.when(F.col("i") == i, F.col("mid"))).alias(f"m_{i}") for i in range(5)], *[F.max(F.when(F.col("i") == i, F.col("sd"))).alias(f"sd_{i}") for i in range(5)]).checkpoint()
+    diagonal = factored(flat.withColumns({f"c_{i}_{j}": F.col(f"sd_{i}") * F.col(f"sd_{i}") if i == j else F.lit(0.0) for i in range(5) for j in range(i + 1)}), ["pool"])
+    ranged = rows.join(small(flat), "pool")
+    reach = [CLIP * F.greatest(F.col(f"sd_{i}"), F.lit(floor)) * UNIT for i, floor in enumerate(FEATURES.values())]
+    clipped = ranged.select("pool", *[F.round(F.least(F.greatest(F.col(x).cast("double"), F.col(f"m_{i}") * UNIT - reach[i]), F.col(f"m_{i}") * UNIT + reach[i])).cast("long").alias(x) for i, x in enumerate(NAMES)])
+    every = [diagonal, moments(clipped, ["pool"], 1.0), moments(rows, ["pool"], 1.0)]
+    return reduce(DataFrame.unionByName, [x.withColumn("start", F.lit(k)) for k, x in enumerate(every)])
+
+
+def concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """One concentration step for each (pool, start) of the checkpointed estimates."""
+    near = rows.join(small(estimates), "pool").withColumn("bin", F.floor(F.log(distance(rows) + 1e-6) * 64))
+    order = Window.partitionBy("pool", "start").orderBy("bin")
+    cut = near.groupBy("pool", "start", "bin").count().withColumn("upto", F.sum("count").over(order)).withColumn("all", F.sum("count").over(Window.partitionBy("pool", "start")))
+    cut = cut.where(F.col("upto") >= SUBSET * F.col("all")).groupBy("pool", "start").agg(F.min("bin").alias("last")).checkpoint()
+    kept = near.join(small(cut), ["pool", "start"]).where("bin <= last")
+    return moments(kept, ["pool", "start"], CONSISTENCY).checkpoint()
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """Centre and Cholesky factor of each pool of at least MIN_GROUP rows (pool, features)."""
+    """Centre and Cholesky factor of each pool of at least MIN_GROUP rows (pool, features), from the start of least determinant."""
     enough = small(rows.groupBy("pool").count().where(F.col("count") >= MIN_GROUP).select("pool").checkpoint())
     rows = rows.join(enough, "pool").checkpoint()
-    estimates = start(rows).checkpoint()
+    estimates = starts(rows).checkpoint()
+    for _ in range(PROBES):
+        estimates = concentrated(rows, estimates)
+    least = estimates.groupBy("pool").agg(F.min(F.struct(log_determinant().alias("det"), "start"))["start"].alias("start"))
+    estimates = estimates.join(least, ["pool", "start"]).checkpoint()
     for _ in range(STEPS):
-        near = rows.join(small(estimates), "pool").withColumn("bin", F.floor(F.log(distance(rows) + 1e-6) * 64))
-        order = Window.partitionBy("pool").orderBy("bin")
-        cut = near.groupBy("pool", "bin").count().withColumn("upto", F.sum("count").over(order)).withColumn("all", F.sum("count").over(Window.partitionBy("pool")))
-        cut = cut.where(F.col("upto") >= SUBSET * F.col("all")).groupBy("pool").agg(F.min("bin").alias("last")).checkpoint()
-        kept = near.join(small(cut), "pool").where("bin <= last")
-        exact = lambda c: F.sum(c.cast("decimal(20,0)")).cast("double")
-        sums = kept.groupBy("pool").agg(
-            F.count("*").alias("n"),
-            *[exact(F.col(x)).alias(f"s_{i}") for i, x in enumerate(NAMES)],
-            *[exact(F.col(x) * F.col(NAMES[j])).alias(f"s_{i}_{j}") for i, x in enumerate(NAMES) for j in range(i + 1)],
-        )
-        means = {f"m_{i}": F.col(f"s_{i}") / F.col("n") / UNIT for i in range(5)}
-        covariances = {f"c_{i}_{j}": (F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"s_{i}") / F.col("n") * (F.col(f"s_{j}") / F.col("n"))) / UNIT / UNIT * CONSISTENCY for i in range(5) for j in range(i + 1)}
-        estimates = factored(sums.withColumns(means | covariances)).checkpoint()
-    return estimates
+        estimates = concentrated(rows, estimates)
+    return estimates.drop("start")
+
+
+def log_determinant() -> Column:
+    """Half the logarithm of the covariance's determinant, from the factor's diagonal."""
+    return reduce(lambda a, b: a + b, [F.log(f"l_{i}_{i}") for i in range(5)])
 
 
 def judged(rows: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -176,7 +211,8 @@ def judged(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 def learn(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(checkpointed rows with qr and pool, pools, estimates) of documents (doc_id, text, lang, source)."""
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = with_features(docs.select(F.col("doc_id").cast("long"), "text", "lang", "source")).drop("text").checkpoint()
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text", "lang", "source")
+    rows = with_features(docs.select(F.col("doc_id").cast("long"), "text", "lang", "source", key.alias("key"))).drop("text").checkpoint()
     pooled, pools = with_pool(rows)
     return pooled, pools, fit(pooled.where("not qr.base_failed").select("pool", *[F.col(f"qr.{x}").alias(x) for x in NAMES]))
 
@@ -189,8 +225,9 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that the rules keep. Counts are taken twice rather than shuffling texts."""
-    names = docs.columns
-    _, pools, estimates = learn(docs)
-    rows = attach_pool(with_features(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), "text", "lang", "source")).drop("text"), pools)
-    return judged(rows, estimates).where("kept").select("doc.*")
+    """The documents, with all their columns, that the rules keep. Counts are taken once: a document finds its verdict by a hash of what it rests on."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text", "lang", "source")
+    rows, _, estimates = learn(docs)
+    kept = judged(rows, estimates).where("kept").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id")).distinct()
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("_key"), F.col("doc_id").cast("long").alias("doc_id"))
+    return held.join(kept, (held["_key"] == kept["_key"]) & held["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select("doc.*")
