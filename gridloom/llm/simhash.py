@@ -9,7 +9,8 @@ fingerprint). Distinct fingerprints are shuffled on variants, each pair that mee
 is verified on all 64 bits, and a bucket emits a spanning forest of its links.
 Buckets beyond ``most`` members, which pairwise checks would make quadratic, are
 handed to the full balls: whatever shares a full variant lies within the radius,
-so a star per variant holds all their links without checking a pair.
+so a star per variant holds all their links without checking a pair. (At an odd radius
+one of the two balls is a bit wider, and a star's centre comes from the narrower ones.)
 
 Copies collapse before any of this: one row per distinct fingerprint is hashed.
 
@@ -85,16 +86,22 @@ def projected_variants(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def full_variants(batches):
-    """Every variant within 2 bits of each fp: (key, fp)."""
+def full_variants(radius: int):
+    """Every variant of each fp within half the radius: (key, outer, fp). At an odd radius, those one bit farther too, marked as outer."""
     one = np.uint64(1) << np.arange(64, dtype=np.uint64)
     a, b = np.triu_indices(64, 1)
-    ball = np.concatenate([[np.uint64(0)], one, one[a] | one[b]])
-    for batch in batches:
-        fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for at in range(0, len(fps), 64):
-            part = fps[at : at + 64]
-            yield pa.RecordBatch.from_arrays([pa.array((part[:, None] ^ ball).ravel().view(np.int64)), pa.array(np.repeat(part, len(ball)).view(np.int64))], names=["key", "fp"])
+    shells = [np.zeros(1, np.uint64), one, one[a] | one[b]]
+    inner, outer = np.concatenate(shells[: radius // 2 + 1]), shells[radius // 2 + 1] if radius % 2 else shells[0][:0]
+    ball, is_outer = np.concatenate([inner, outer]), np.repeat([False, True], [len(inner), len(outer)])
+
+    def run(batches):
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for at in range(0, len(fps), 64):
+                part = fps[at : at + 64]
+                yield pa.RecordBatch.from_arrays([pa.array((part[:, None] ^ ball).ravel().view(np.int64)), pa.array(np.tile(is_outer, len(part))), pa.array(np.repeat(part, len(ball)).view(np.int64))], names=["key", "outer", "fp"])
+
+    return run
 
 
 def runs(batches, most: int):
@@ -167,18 +174,20 @@ def links_of_buckets(radius: int, most: int):
 
 
 def stars(batches):
-    """Sorted (key, fp) of full variants to edges from each member to its variant's first."""
-    held_key, held_fp = None, None
+    """Full variants sorted by key, inner ones first, to edges from each member to its key's first, which is an inner one where there is any; keys of outer ones alone have none."""
+    held_key, held_fp, held_outer = None, None, True
     for batch in batches:
-        key, fp = batch.column("key").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False)
+        key, fp, outer = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "outer"))
         if not len(key):
             continue
         new = np.concatenate([[held_key is None or key[0] != held_key], key[1:] != key[:-1]])
-        first = np.concatenate([[fp[0] if new[0] else held_fp], fp[1:]])
-        first = first[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-        on = np.flatnonzero(first != fp)
+        place = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        first, far = fp[place], outer[place]
+        if not new[0]:
+            first, far = np.where(place == 0, held_fp, first), np.where(place == 0, held_outer, far)
+        on = np.flatnonzero((first != fp) & ~far)
         x = np.unique(np.stack([fp[on], first[on]], axis=1), axis=0)
-        held_key, held_fp = key[-1], first[-1]
+        held_key, held_fp, held_outer = key[-1], first[-1], far[-1]
         yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
 
@@ -190,12 +199,10 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, most: int = MOST) ->
     met = distinct.select(F.explode(projected_variants(F.col("fp"))).alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(links_of_buckets(radius, most), "a long, b long, hot boolean").distinct().checkpoint()
     links = met.where("not hot").select("a", "b")
     hot = met.where("hot").select(F.col("a").alias("fp")).distinct()
-    if radius == 4 and not hot.isEmpty():
-        balls = hot.repartition(n, "fp").mapInArrow(full_variants, "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
-        return links.union(balls.mapInArrow(stars, "a long, b long").distinct())
-    if not hot.isEmpty():
-        raise ValueError("buckets beyond `most` need radius 4")
-    return links
+    if hot.isEmpty() or not radius:
+        return links
+    balls = hot.repartition(n, "fp").mapInArrow(full_variants(radius), "key long, outer boolean, fp long").repartition(n, "key").sortWithinPartitions("key", "outer", "fp")
+    return links.union(balls.mapInArrow(stars, "a long, b long").distinct())
 
 
 def near_duplicate_components(docs: DataFrame, radius: int = 4, words: int = SHINGLE_WORDS, most: int = MOST) -> DataFrame:
