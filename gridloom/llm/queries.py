@@ -66,5 +66,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_byte_bpe,
     )
 }
-#: Every operator here iterates, fits a model, tokenizes or compares within a radius, beyond SQL; tests hold each against brute force.
-ORACLES: dict[str, str] = {}
+#: The others iterate, fit a model, tokenize or hash, beyond SQL; tests hold each against brute force.
+ORACLES: dict[str, str] = {
+    "op9_spherical_cap_near_dedup": """
+with recursive v as (
+    select vec_id, label, embedding::double[] as e from embeddings
+), f as (
+    select vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v
+    where label is not null and vec_id is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+), links as (
+    select a.vec_id as x, b.vec_id as y from f a join f b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+    where a.norm > 0 and b.norm > 0 and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), reached as (
+    select vec_id, vec_id as root from v union select l.y as vec_id, r.root from reached r join links l on l.x = r.vec_id
+), roots as (
+    select vec_id, min(root) as root from reached group by vec_id
+), counts as (
+    select x, count(*) as n from links group by x
+)
+select v.vec_id, coalesce(n, 0)::bigint as n_links, coalesce(root, v.vec_id)::bigint as component_id, coalesce(root = v.vec_id, true) as kept
+from v left join counts on x = v.vec_id left join roots on roots.vec_id = v.vec_id
+""",
+}
