@@ -11,8 +11,11 @@ are dealt by ranges of whole shards, and a shard is laid out in memory when its
 have come together. Every row of a shard file takes ``stride`` token ids of two bytes,
 padded, so a reader resumes at any slot by a seek.
 
+Which index a sequence has follows from how the input was split into tasks when it was
+tokenized; the written table fixes it from then on, so lost tasks are repeated alike.
+
 A shard file appears under its name only when complete, and a repeated task writes
-the same bytes. Defined results: null and empty texts hold the end token alone;
+the same bytes. An id beyond 65535 is an error. Defined results: null and empty texts hold the end token alone;
 repeated rows and null ids are sequences like any others; an empty table writes no
 shard; other columns are ignored.
 """

@@ -1,23 +1,29 @@
 """Line dedup by winnowing: repeated runs of lines are found by fingerprints and deleted where they come later.
 
-A gram is the shortest run of lines from a given line on with GRAM_WORDS words or
-more. Of the grams inside the shortest run with RUN_WORDS words from each line on,
-the one with the least hash is a fingerprint, the leftmost at a tie, so two texts
-that share a run of RUN_WORDS words share a fingerprint at the same place in it.
+A line is hashed in pieces, cut after a full stop, exclamation or question mark that
+white space follows, so that a passage set into a longer line is found as well; a short
+line is one piece. A gram is a piece of GRAM_WORDS words or more, or else the least of 2, 3, 4 or
+8 pieces in a row that hold as many (8 also where they hold fewer). Of the grams that begin within each gram, the one with the least hash
+is a fingerprint, the leftmost at a tie, so two texts that share a run of some
+gram's length twice over share a fingerprint at the same place in it.
 Fingerprints are joined by hash to their first occurrence in the corpus, by doc_id
-and line; from there the match is extended line by line both ways, as far as the
+and place; from there the match is extended piece by piece both ways, as far as the
 next fingerprint must come, and the later occurrence is deleted. The first place of a
-gram may hold less of a run than a later one, so in documents with repeated fingerprints
-the shortest runs of RUN_WORDS words from each line on, and to each line, are joined to
-their own first occurrence as well; together they cover every repeated run. A fingerprint that
-very many documents share is pre-aggregated to its first occurrence, and the join
-back carries one row for each place: no pairs of documents arise.
+gram may hold less of a run than a later one, so around later fingerprints the shortest
+runs of RUN_WORDS words from each piece on, and to each piece, that the extension did not
+cover are joined to their own first occurrence as well. Of what is
+covered, stretches of LEAST_WORDS words or more are deleted. A document whose text an
+earlier one has goes as a whole.
 
-Lines are compared by their words; lines without words neither count nor break a
-run. Everything is DataFrame expressions.
+A fingerprint that very many documents share is pre-aggregated to its first occurrence,
+and the join back carries one small row for each place: no pairs of documents arise, and
+a place's neighbourhood is a few hashes.
 
-Defined results: null and empty texts stay as they are; documents under RUN_WORDS
-words have no fingerprints; rows that repeat an id and a text are one document and
+Pieces are compared by their words; pieces without words neither count nor break a
+run. A line goes when all its pieces with words do. Everything is DataFrame expressions.
+
+Defined results: null and empty texts stay as they are; documents under LEAST_WORDS
+words stay; rows that repeat an id and a text are one document and
 come out alike; null ids come last; a document that repeats wholly is left with an
 empty text; an empty table gives no rows.
 """
@@ -27,107 +33,159 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality_rules import SEPARATORS, let
-from .tables import ensure_checkpoint_dir
+from .quality_rules import let
+from .tables import ensure_checkpoint_dir, tidy
 
-GRAM_WORDS = 25
-RUN_WORDS = 50
+GRAM_WORDS = 16
+RUN_WORDS = 36
+LEAST_WORDS = 25
+#: Pieces that a match is extended by beyond its fingerprint on each side.
+REACH = 8
 LAST_ID = 2**63 - 1
-
-
-def outlined(gram: int, run: int) -> str:
-    """SQL for text t: its lines with words as structs (h, n, p), and its fingerprints (h, i, k) over them."""
-    words = f"array_remove(split(l, '{SEPARATORS}'), '')"
-    lines = f"filter(transform(split(t, '\\\\n'), (l, p) -> {let(words, 'w', 'struct(xxhash64(concat_ws(chr(32), w)) as h, size(w) as n, p as p)')}), x -> x.n > 0)"
-    grow = f"struct(if(a.w < {gram}, xxhash64(a.h, x.h), a.h) as h, if(a.w < {gram}, a.k + 1, a.k) as k, if(a.w < {run}, a.r + 1, a.r) as r, least(a.w + x.n, {run}) as w)"
-    spans = f"transform(ls, (line, i) -> aggregate(slice(ls, i + 1, {run}), struct(42L as h, 0 as k, 0 as r, 0 as w), (a, x) -> {grow}, a -> struct(a.h as h, i as i, a.k as k, a.r as r, a.w as w)))"
-    inside = f"array_min(transform(filter(slice(gs, g.i + 1, g.r), x -> x.w >= {gram} and x.i + x.k <= g.i + g.r), x -> struct(x.h as h, x.i as i, x.k as k)))"
-    picked = f"transform(filter(gs, g -> g.w >= {run}), g -> {inside})"
-    once = let(picked, "ps", "filter(ps, (x, q) -> q = 0 or ps[q - 1].i <> x.i)")
-    return let(lines, "ls", f"struct(ls as lines, {let(spans, 'gs', once)} as prints)")
-
-
-def windows(run: int) -> str:
-    """SQL for lines and repeated fingerprints xs: the shortest runs of ``run`` words from or to a line that hold one, as structs (h, i, m) of hash, first line and lines."""
-    grow = f"struct(if(a.w < {run}, xxhash64(a.h, x.h), a.h) as h, if(a.w < {run}, a.r + 1, a.r) as r, least(a.w + x.n, {run}) as w)"
-    spans = f"transform(lines, (line, i) -> aggregate(slice(lines, i + 1, {run}), struct(42L as h, 0 as r, 0 as w), (a, x) -> {grow}, a -> struct(a.h as h, i as i, a.r as r, a.w as w)))"
-    held = f"filter(ss, s -> s.w >= {run} and exists(xs, x -> x.place.i >= s.i and x.place.i + x.k <= s.i + s.r))"
-    # A run from line i on that ends before the shortest one from line i + 1 does is the shortest to its last line.
-    most = f"greatest(s.r, if(s.i + 1 >= size(lines) or ss[s.i + 1].w < {run}, size(lines) - s.i, ss[s.i + 1].r))"
-    longer = f"transform(sequence(s.r, {most}), m -> struct(aggregate(slice(lines, s.i + s.r + 1, m - s.r), s.h, (h, x) -> xxhash64(h, x.h)) as h, s.i as i, m as m))"
-    return let(spans, "ss", f"flatten(transform({held}, s -> {longer}))")
-
-
-def places(docs: DataFrame, gram: int, run: int) -> DataFrame:
-    """(d, th, lines, prints) for each distinct document."""
+MARKS = ".!?"
+CUT = rf"(?<=[{MARKS}])(?=[\\x20\\x09\\x0B-\\x0D])"
+#: A piece is named by its line and its place therein in one number.
+PER_LINE = 2**32
+
+
+def pieces(text: str, of: str) -> str:
+    """SQL: an array of ``of`` for all pieces x of a text, the k-th ones of its lines l."""
+    return f"flatten(transform(split({text}, '\\\\n'), (line, l) -> transform(split(line, '{CUT}'), (x, k) -> {of})))"
+
+
+def outlined() -> str:
+    """SQL for text t: hashes hs and lengths ns of its pieces with words, and its fingerprints (place * 16 + pieces) over them."""
+    odd = " or ".join(["contains(t, '  ')", *(f"contains(t, chr({c}))" for c in (9, 11, 12, 13))])
+    cut = f"if({odd}, regexp_replace(t, '[\\\\x20\\\\x09\\\\x0B-\\\\x0D]+', ' '), t)"
+    for mark in MARKS:
+        cut = f"replace({cut}, '{mark} ', '{mark}\\n')"
+    listed = f"filter(transform(split({cut}, '\\n'), x -> trim(x)), x -> x <> '')"
+    counts = "transform(xs, x -> octet_length(x) - octet_length(replace(x, ' ', '')) + 1)"
+    plus = lambda a, b, k: f"zip_with({a}, slice({b}, {k} + 1, size(ns)), (a, b) -> a + b)"
+    least = " ".join(f"when {s}[i] >= {GRAM_WORDS} then {k}" for s, k in (("s2", 2), ("s3", 3), ("s4", 4)))
+    sizes = f"transform(ns, (n, i) -> case when n >= {GRAM_WORDS} then 1 {least} when i + 8 <= size(ns) then 8 else 0 end)"
+    sizes = let(plus("ns", "ns", 1), "s2", let(plus("s2", "ns", 2), "s3", let(plus("s2", "s2", 2), "s4", sizes)))
+    hashes = "transform(ks, (k, i) -> if(k = 0, null, xxhash64(slice(hs, i + 1, k))))"
+    chosen = let("slice(gs, i + 1, k)", "w", "i + cast(array_position(w, array_min(w)) as int) - 1")
+    picked = f"array_compact(array_distinct(transform(ks, (k, i) -> if(k = 0, null, {chosen}))))"
+    prints = let(sizes, "ks", let(hashes, "gs", f"transform({picked}, j -> cast(j as bigint) * 16 + ks[j])"))
+    lengths = f"transform(ns, n -> cast(least(n, {RUN_WORDS}) as tinyint))"
+    return let(listed, "xs", let("transform(xs, x -> xxhash64(x))", "hs", let(counts, "ns", f"struct(hs, {lengths} as ns, {prints} as prints)")))
+
+
+def windows() -> str:
+    """SQL for pieces hs, ns, later fingerprints xs (i, k) and spans covered (i, j): the shortest runs of RUN_WORDS words from or to a piece that hold a fingerprint and are not covered, as structs (h, i, m) of hash, first piece and pieces."""
+    grow = f"if((a & 127) < {RUN_WORDS}, a + x + 128, a)"
+    taken = lambda i: f"aggregate(slice(ns, {i} + 1, most), 0, (a, x) -> {grow}, a -> if((a & 127) < {RUN_WORDS}, 0, shiftright(a, 7)))"
+    # A run from piece i on that ends before the shortest one from piece i + 1 does is the shortest to its last piece.
+    ends = "greatest(r, if(after = 0, size(ns) - i, after))"
+    wanted = "not exists(covered, c -> c.i <= i and i + m - 1 <= c.j) and exists(xs, x -> x.i >= i and x.i + x.k <= i + m)"
+    runs = f"transform(filter(sequence(r, {ends}), m -> {wanted}), m -> struct(xxhash64(slice(hs, i + 1, m)) as h, i as i, m as m))"
+    from_piece = let(taken("i"), "r", f"if(r = 0, null, {let(taken('(i + 1)'), 'after', runs)})")
+    # What is not covered and holds a fingerprint reaches over an end of a span.
+    none = "cast(array() as array<int>)"
+    beside = f"concat(if(c.i > 0, sequence(greatest(0, c.i - most), c.i - 1), {none}), if(c.j < size(ns) - 1, sequence(greatest(c.i, c.j - most), c.j), {none}))"
+    starts = f"array_distinct(flatten(transform(covered, c -> {beside})))"
+    whole = "size(xs) = 0 or (size(covered) = 1 and covered[0].i = 0 and covered[0].j = size(ns) - 1)"
+    return f"if({whole}, null, {let(bounded(), 'most', f'flatten(array_compact(transform({starts}, i -> {from_piece})))')})"
+
+
+def bounded() -> str:
+    """SQL: a count of the pieces ns that holds RUN_WORDS words wherever it begins."""
+    doubled = lambda a, k: f"zip_with({a}, slice({a}, {k} + 1, size({a})), (a, b) -> a + coalesce(b, {RUN_WORDS}))"
+    holds = lambda a: f"coalesce(array_min({a}), {RUN_WORDS}) >= {RUN_WORDS}"
+    sixteen = let(doubled("s8", 8), "s16", f"if({holds('s16')}, 16, {RUN_WORDS})")
+    eight = let(doubled("s4", 4), "s8", f"if({holds('s8')}, 8, {sixteen})")
+    return let(doubled("transform(ns, x -> cast(x as int))", 1), "s2", let(doubled("s2", 2), "s4", f"if({holds('s4')}, 4, {eight})"))
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """(d, th, hs, ns, prints) for each row."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("d"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("t"))
-    return keyed.select("d", "th", F.expr(let("t", "t", outlined(gram, run))).alias("o")).select("d", "th", "o.*")
+    return keyed.select("d", "th", F.expr(let("t", "t", outlined())).alias("o")).select("d", "th", "o.*")
 
 
-#: Sorted spans with those that overlap or touch as one.
-MERGED = """aggregate(slice(spans, 2, size(spans)), struct(cast(array() as array<struct<low:int,high:int>>) as done, spans[0] as last),
-    (a, x) -> if(x.low <= a.last.high + 1, struct(a.done as done, struct(a.last.low as low, greatest(a.last.high, x.high) as high) as last), struct(concat(a.done, array(a.last)) as done, x as last)),
+#: Sorted spans (i, j) of pieces, those that overlap or touch as one.
+MERGED = """aggregate(slice(spans, 2, size(spans)), struct(cast(array() as array<struct<i:int,j:int>>) as done, spans[0] as last),
+    (a, x) -> if(x.i <= a.last.j + 1, struct(a.done as done, struct(a.last.i as i, greatest(a.last.j, x.j) as j) as last), struct(concat(a.done, array(a.last)) as done, x as last)),
     a -> concat(a.done, array(a.last)))"""
-
-
-def repeated_spans(docs: DataFrame, gram: int = GRAM_WORDS, run: int = RUN_WORDS) -> DataFrame:
-    """(d, th, spans): for documents with later repeats, the first and last line numbers to delete."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    held = places(docs, gram, run).checkpoint()
-    prints = held.select("d", "th", F.explode("prints").alias("x")).select(F.col("x.h").alias("g"), F.struct("d", "th", F.col("x.i").alias("i")).alias("place"), F.col("x.k").alias("k"))
-    first = prints.groupBy("g").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("g", "first").checkpoint()
-    # Only places of fingerprints that occur elsewhere go back to their documents' lines; a document has few.
-    places_of = prints.join(first, "g").groupBy("place.d", "place.th").agg(F.collect_list(F.struct("g", "first", "place", "k")).alias("xs"))
-    shared = (
-        held.select("d", "th", "lines")
-        .join(places_of, ["d", "th"])
-        .select("lines", "xs", F.posexplode("xs").alias("q", "x"))
-        .select(
-            F.col("x.g").alias("g"),
-            F.col("x.place").alias("place"),
-            F.col("x.first").alias("first"),
-            F.expr(f"reverse(transform(slice(lines, greatest(x.place.i - {run}, 0) + 1, least(x.place.i, {run})), y -> struct(y.h as h, y.p as p)))").alias("before"),
-            F.expr("transform(slice(lines, x.place.i + 1, x.k), y -> y.p)").alias("inside"),
-            F.expr(f"transform(slice(lines, x.place.i + x.k + 1, {run}), y -> struct(y.h as h, y.p as p))").alias("after"),
-            # One row of a document carries its windows, with the line numbers to delete.
-            F.expr(f"if(q = 0, transform({windows(run)}, v -> struct(v.h as h, v.i as i, lines[v.i].p as low, lines[v.i + v.m - 1].p as high)), null)").alias("windows"),
-        )
-        .checkpoint()
+LONG_ENOUGH = f"filter(merged, s -> aggregate(slice(ns, s.i + 1, s.j - s.i + 1), 0, (a, x) -> a + x) >= {LEAST_WORDS})"
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(d, th, spans): for documents with later repeats, the first and last of the pieces with words to delete, counted from 0."""
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    held = places(docs).checkpoint()
+    gram = F.expr("xxhash64(slice(hs, cast(y div 16 as int) + 1, cast(y % 16 as int)))")
+    prints = held.select("d", "th", "hs", F.explode("prints").alias("y")).select(gram.alias("g"), "d", "th", "y")
+    again = prints.groupBy("g").agg(F.min("d").alias("d0"), F.count("*").alias("n")).where("n > 1").select("g", "d0").checkpoint()
+    # Only places of fingerprints that occur elsewhere go back to their documents' pieces; a document has few.
+    per_doc = prints.join(again, "g").groupBy("d", "th").agg(F.collect_set(F.struct("g", "y", "d0")).alias("xs")).checkpoint()
+    tidy(spark)
+    copied = held.groupBy("th").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("th", "least").checkpoint()
+    marked = per_doc.join(copied, "th", "left").withColumn("copy", F.coalesce(F.col("d") > F.col("least"), F.lit(False)))
+    # Copies need no places: their first text has them.
+    marked = marked.select("d", "th", "copy", F.when(F.col("copy"), F.expr("slice(xs, 1, 0)")).otherwise(F.col("xs")).alias("xs"))
+    shared = held.select("d", "th", "hs", "ns").join(marked, ["d", "th"]).dropDuplicates(["d", "th"]).checkpoint()
+    tidy(spark)
+    at = shared.select("d", "th", "hs", F.explode("xs").alias("x")).select("d", "th", "hs", "x.g", "x.d0", F.expr("cast(x.y div 16 as int)").alias("i"), F.expr("cast(x.y % 16 as int)").alias("k"))
+    around = at.select(
+        *("d", "th", "g", "d0", "i", "k"),
+        F.expr(f"transform(reverse(slice(hs, greatest(i - {REACH}, 0) + 1, least(i, {REACH}))), h -> cast(h & 2147483647 as int))").alias("before"),
+        F.expr(f"transform(slice(hs, i + k + 1, {REACH}), h -> cast(h & 2147483647 as int))").alias("after"),
     )
-    heads = shared.where("place = first").groupBy("g").agg(F.first(F.struct("before", "after")).alias("head")).select("g", "head.before", "head.after").toDF("g", "before0", "after0").checkpoint()
+    heads = around.groupBy("g").agg(F.min(F.when(F.col("d") == F.col("d0"), F.struct("th", "i", "before", "after"))).alias("head"), F.count("*").alias("n")).checkpoint()
 
     def common(ours: str, theirs: str) -> str:
-        return let(f"array_position(zip_with({ours}, {theirs}, (x, y) -> x.h <=> y.h), false)", "m", f"if(m = 0, size({ours}), cast(m as int) - 1)")
-
-    matched = shared.where("place <> first").join(heads, "g").select("place.d", "place.th", "inside", "before", "after", F.expr(common("before", "before0")).alias("nb"), F.expr(common("after", "after0")).alias("na"))
-    low, high = F.expr("if(nb = 0, inside[0], before[nb - 1].p)"), F.expr("if(na = 0, element_at(inside, -1), after[na - 1].p)")
-    by_gram = matched.select("d", "th", F.struct(low.alias("low"), high.alias("high")).alias("span"))
-    wide = shared.where("windows is not null").select("place.d", "place.th", F.explode("windows").alias("v")).select(F.col("v.h").alias("g"), F.struct("d", "th", F.col("v.i").alias("i")).alias("place"), F.struct("v.low", "v.high").alias("span"))
-    first_wide = wide.groupBy("g").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("g", "first")
-    by_window = wide.join(first_wide, "g").where("place <> first").select("place.d", "place.th", "span")
-    found = by_gram.union(by_window).groupBy("d", "th").agg(F.array_sort(F.collect_set("span")).alias("spans"))
-    return found.select("d", "th", F.expr(MERGED).alias("spans"))
-
-
-def with_spans(docs: DataFrame, gram: int = GRAM_WORDS, run: int = RUN_WORDS) -> DataFrame:
+        return let(f"array_position(zip_with({ours}, {theirs}, (x, y) -> x <=> y), false)", "m", f"if(m = 0, size({ours}), cast(m as int) - 1)")
+
+    later = around.join(heads, "g").where("d <> d0 or th <> head.th or i <> head.i")
+    # A fingerprint with one later place cannot hide a longer run of two of them.
+    spans = later.select("d", "th", F.when(F.col("n") > 2, F.struct("i", "k")).alias("x"), F.struct((F.col("i") - F.expr(common("before", "head.before"))).alias("i"), (F.col("i") + F.col("k") + F.expr(common("after", "head.after")) - 1).alias("j")).alias("span"))
+    spans = spans.groupBy("d", "th").agg(F.collect_set("x").alias("xs"), F.array_sort(F.collect_set("span")).alias("spans"))
+    found = shared.where("not copy").select("d", "th", "hs", "ns").join(spans, ["d", "th"]).withColumn("covered", F.expr(MERGED)).select("d", "th", "hs", "ns", "xs", "covered").checkpoint()
+    tidy(spark)
+    wide = found.select("d", "th", F.explode(F.expr(windows())).alias("v")).select(F.col("v.h").alias("g"), F.struct("d", "th", F.col("v.i").alias("i")).alias("place"), (F.col("v.i") + F.col("v.m") - 1).alias("j")).checkpoint()
+    first = wide.groupBy("g").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "first")
+    more = wide.join(first, "g").where("place <> first").groupBy("place.d", "place.th").agg(F.collect_set(F.struct("place.i", "j")).alias("more"))
+    joined = found.join(more, ["d", "th"], "left").withColumn("spans", F.expr("if(more is null, covered, array_sort(concat(covered, more)))"))
+    merged = joined.withColumn("merged", F.expr(f"if(more is null, covered, {MERGED})")).select("d", "th", F.expr(LONG_ENOUGH).alias("spans"))
+    whole = shared.where("copy").select("d", "th", F.expr("array(struct(0 as i, size(ns) - 1 as j))").alias("merged"), "ns").select("d", "th", F.expr(LONG_ENOUGH).alias("spans"))
+    return merged.union(whole).where("size(spans) > 0")
+
+
+def with_spans(docs: DataFrame) -> DataFrame:
     """(doc, spans): each row as a struct beside the spans to delete, null without any."""
-    spans = repeated_spans(docs, gram, run).checkpoint()
+    spans = repeated_spans(docs).checkpoint()
+    tidy(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("d"), F.xxhash64("text").alias("th"))
     return rows.join(spans, ["d", "th"], "left").select("doc", "spans")
 
 
-KEPT_TEXT = "case when spans is null then doc.text else concat_ws('\\n', filter(split(doc.text, '\\\\n'), (l, p) -> not exists(spans, s -> p between s.low and s.high))) end"
+def with_kept(found: DataFrame) -> DataFrame:
+    """Adds cuts, the deleted spans as (low_line, low_piece, high_line, high_piece), and kept, the lines that stay."""
+    worded = "rlike '[^\\\\x20\\\\x09-\\\\x0D]'"
+    named = f"filter({pieces('doc.text', f'if(x {worded}, cast(l as bigint) * {PER_LINE} + k, null)')}, p -> p is not null)"
+    at = lambda p: f"cast({p} div {PER_LINE} as int) as {{0}}_line, cast({p} % {PER_LINE} as int) as {{0}}_piece"
+    cuts = let(named, "ps", "transform(spans, s -> struct(ps[s.i] as low, ps[s.j] as high))")
+    gone = let(f"cast(l as bigint) * {PER_LINE}", "b", "filter(cuts, s -> s.high >= b and s.low < b + " + str(PER_LINE) + ")")
+    left = f"filter(transform(split(line, '{CUT}'), (x, k) -> struct(x as x, exists(here, s -> b + k between s.low and s.high) as out)), y -> not y.out)"
+    rest = let(f"cast(l as bigint) * {PER_LINE}", "b", let(left, "ys", f"if(exists(ys, y -> y.x {worded}), concat_ws('', transform(ys, y -> y.x)), null)"))
+    kept = f"filter(transform(split(doc.text, '\\\\n'), (line, l) -> {let(gone, 'here', f'if(size(here) = 0, line, {rest})')}), x -> x is not null)"
+    out = found.withColumn("cuts", F.expr(f"if(spans is null, null, {cuts})")).withColumn("kept", F.expr(f"if(cuts is null, null, {kept})"))
+    return out.withColumn("cuts", F.expr(f"transform(cuts, s -> struct({at('s.low').format('low')}, {at('s.high').format('high')}))"))
 
 
-def dedup_lines(docs: DataFrame, gram: int = GRAM_WORDS, run: int = RUN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, without later repeats of runs."""
-    found = with_spans(docs, gram, run).withColumn("kept_text", F.expr(KEPT_TEXT))
+    found = with_kept(with_spans(docs)).withColumn("kept_text", F.expr("if(cuts is null, doc.text, concat_ws('\\n', kept))"))
     return found.select(*[F.col("kept_text").alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id, deleted spans of line numbers, deleted lines and the text that stays."""
-    found = with_spans(docs.select("doc_id", "text")).withColumn("kept_text", F.expr(KEPT_TEXT))
-    count = lambda c: F.size(F.split(F.coalesce(F.col(c), F.lit("")), "\n"))
-    gone = F.when(F.col("kept_text") == "", count("doc.text")).otherwise(count("doc.text") - count("kept_text"))
-    return found.select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce("spans", F.expr("cast(array() as array<struct<low:int,high:int>>)")).alias("spans"), F.when(F.col("spans").isNull(), 0).otherwise(gone).cast("long").alias("n_deleted_lines"), F.col("kept_text").alias("text"))
+    """doc_id, deleted spans as (low_line, low_piece, high_line, high_piece) from 0, lines deleted whole and the text that stays."""
+    found = with_kept(with_spans(docs.select("doc_id", "text")))
+    gone = F.expr("if(cuts is null, 0, size(split(doc.text, '\\\\n')) - size(kept))")
+    none = F.expr("cast(array() as array<struct<low_line:int,low_piece:int,high_line:int,high_piece:int>>)")
+    return found.select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce("cuts", none).alias("spans"), gone.cast("long").alias("n_deleted_lines"), F.expr("if(cuts is null, doc.text, concat_ws('\\n', kept))").alias("text"))
