@@ -143,6 +143,21 @@ def register_statistics(key: str, dims: Sequence[int], most: int) -> None:
     ORACLES[f"coarse_stats_{key}"] = f"with g as ({block_sql(dims)}), q as (select grid_id, data, {there} as c from g), z as (select grid_id, data, {zero_sql(DUCKDB, 'c', dims, most)} as c from q), r as (select grid_id, data, {formulas.recompose(DUCKDB, 'c', dims, most)} as dec from z) select grid_id, {', '.join(f'{e} as {k}' for k, e in columns.items())} from r"
 
 
+def register_gaps() -> None:
+    """Statistics of grids with values that are no numbers, the first among them in every fifth grid."""
+    broken = lambda x, k, nan: f"case when ({k} + grid_id) % 5 = 0 and {k} % 3 = 0 then {nan} else {x} end"
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        held = blocks(spark, sf_dir, (64,)).withColumn("ori", F.expr(f"transform(data, (x, k) -> {broken('x', 'k', "double('NaN')")})"))
+        return statistics.statistics(held.withColumn("dec", F.expr("transform(data, (x, k) -> x + k / 64.0D)")), (64,), "ori", "dec").select("grid_id", "max_value", "min_value", "max_error", "max_error_pos", F.isnan("mse").alias("mse_is_nan")).fillna({"max_value": 1e9, "min_value": 1e9})
+
+    QUERIES["nan_stats_1d"] = query
+    c = statistics.statistic_columns(DUCKDB, "ori", "dec", 64)
+    tidy = lambda k: f"case when isnan({c[k]}) then 1e9::double else {c[k]} end as {k}"
+    made = f"list_transform(range(0, 64), lambda k: {broken('data[k + 1]', 'k', repr('NaN') + '::double')})"
+    ORACLES["nan_stats_1d"] = f"with g as ({block_sql((64,))}), r as (select grid_id, {made} as ori, list_transform(range(0, 64), lambda k: data[k + 1] + k / 64.0::double) as dec from g) select grid_id, {tidy('max_value')}, {tidy('min_value')}, {c['max_error']} as max_error, {c['max_error_pos']} as max_error_pos, isnan({c['mse']}) as mse_is_nan from r"
+
+
 def zero_sql(d, a: str, dims: Sequence[int], most: int) -> str:
     """A decomposition without its finest coefficients."""
     shape = level_dims(dims, most)[-2]
@@ -271,6 +286,7 @@ def box_sql(rank: int) -> str:
 
 
 register_grid_queries()
+register_gaps()
 register_products()
 register_tables()
 register_files()

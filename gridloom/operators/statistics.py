@@ -1,4 +1,9 @@
-"""Error statistics of reconstructed grids."""
+"""Error statistics of reconstructed grids.
+
+Values that are not numbers: extremes pass them over, but a grid whose first value is
+none has none as extremes; the greatest error passes them over; the mean squared error
+takes them in.
+"""
 
 from __future__ import annotations
 
@@ -19,13 +24,15 @@ def statistic_columns(d: Dialect, ori: str, dec: str, size: int) -> dict[str, st
     sizes = d.build(size, p, f"abs({d.at(ori, p)} - {d.at(dec, p)})")
     squares = d.build(size, p, f"({d.at(ori, p)} - {d.at(dec, p)}) * ({d.at(ori, p)} - {d.at(dec, p)})")
     mse = f"{d.ordered_sum(squares)} / {d.number(float(size))}"
+    extreme = lambda of: f"case when isnan({d.at(ori, '0')}) then {d.at(ori, '0')} else {of}({d.numbers_only(ori)}) end"
+    error = f"coalesce({most}({d.numbers_only(sizes)}), {d.number(0.0)})"
     return {
-        "max_value": f"{most}({ori})",
-        "min_value": f"{least}({ori})",
-        "max_error": f"{most}({sizes})",
-        "max_error_pos": f"cast(case when {most}({sizes}) = 0 then 0 else {place}({sizes}, {most}({sizes})) - 1 end as bigint)",
+        "max_value": extreme(most),
+        "min_value": extreme(least),
+        "max_error": error,
+        "max_error_pos": f"cast(case when {error} = 0 then 0 else {place}({sizes}, {error}) - 1 end as bigint)",
         "mse": mse,
-        "psnr": f"case when {mse} = 0 then null else {d.number(20.0)} * log10(({most}({ori}) - {least}({ori})) / sqrt({mse})) end",
+        "psnr": f"case when {mse} = 0 then null else {d.number(20.0)} * log10(({extreme(most)} - {extreme(least)}) / sqrt({mse})) end",
     }
 
 
@@ -45,13 +52,16 @@ def statistics(df: DataFrame, dims: Sequence[int], original: str, decoded: str,
 def long_statistics(df: DataFrame, original: str = "v", decoded: str = "w") -> DataFrame:
     """The same for one or more large grids in long form (grid_id, pos, original, decoded); one partially aggregated shuffle."""
     error = F.abs(F.col(original) - F.col(decoded))
+    number = lambda c: F.when(~F.isnan(c), c)
+    extreme = lambda of: F.when(F.isnan(F.min_by(original, "pos")), F.lit(float("nan"))).otherwise(of(number(F.col(original))))
     agg = df.groupBy("grid_id").agg(
-        F.max(original).alias("max_value"),
-        F.min(original).alias("min_value"),
-        F.max(error).alias("max_error"),
-        F.min(F.struct((-error).alias("e"), F.col("pos").alias("pos")))["pos"].alias("max_error_pos"),
+        extreme(F.max).alias("max_value"),
+        extreme(F.min).alias("min_value"),
+        F.coalesce(F.max(number(error)), F.lit(0.0)).alias("max_error"),
+        F.min(F.when(~F.isnan(error), F.struct((-error).alias("e"), F.col("pos").alias("pos"))))["pos"].alias("at"),
         F.avg(error * error).alias("mse"),
     )
+    agg = agg.withColumn("max_error_pos", F.when(F.col("max_error") > 0, F.col("at")).otherwise(0)).drop("at")
     return agg.withColumn("psnr", F.when(F.col("mse") > 0, 20 * F.log10((F.col("max_value") - F.col("min_value")) / F.sqrt("mse"))))
 
 

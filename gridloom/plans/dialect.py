@@ -28,6 +28,10 @@ class Dialect:
     def each(self, array: str, var: str, body: str) -> str:
         return f"transform({array}, {var} -> {body})" if self.spark else f"list_transform({array}, lambda {var}: {body})"
 
+    def numbers_only(self, array: str) -> str:
+        """The array without what is not a number."""
+        return f"filter({array}, x -> not isnan(x))" if self.spark else f"list_filter({array}, lambda x: not isnan(x))"
+
     def at(self, array: str, index: str) -> str:
         return f"{array}[{index}]" if self.spark else f"{array}[({index}) + 1]"
 

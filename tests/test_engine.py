@@ -37,7 +37,7 @@ def test_expressions_equal_kernels(spark, dims, basis):
     np.testing.assert_allclose(values(back), x.reshape(3, -1), atol=1e-12)
 
 
-@pytest.mark.parametrize("name", ["copy_box_2d_inner", "decompose_box_2d", "recompose_box_2d_inner", "float_decompose_2d", "raw_roundtrip_float", "print_matrix", "print_ragged", "depth_table", "banded_solve_1d", "large_roundtrip_2d", "compression_ratio_1d", "l2_decompose_1d_odd_full", "reorder_2d", "unreorder_3d_odd", "residual_2d_mixed", "l2_correction_2d", "restriction_2d_odd", "progressive_2d", "decomposed_form_2d", "roundtrip_stats_1d", "dot_product_3d", "operator_norm_3d", "levels_table", "thomas_factors", "hier_decompose_events_l1", "load_vector_vertical", "mass_solve"])
+@pytest.mark.parametrize("name", ["nan_stats_1d", "copy_box_2d_inner", "decompose_box_2d", "recompose_box_2d_inner", "float_decompose_2d", "raw_roundtrip_float", "print_matrix", "print_ragged", "depth_table", "banded_solve_1d", "large_roundtrip_2d", "compression_ratio_1d", "l2_decompose_1d_odd_full", "reorder_2d", "unreorder_3d_odd", "residual_2d_mixed", "l2_correction_2d", "restriction_2d_odd", "progressive_2d", "decomposed_form_2d", "roundtrip_stats_1d", "dot_product_3d", "operator_norm_3d", "levels_table", "thomas_factors", "hier_decompose_events_l1", "load_vector_vertical", "mass_solve"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in ("embeddings", "events"):
@@ -159,6 +159,18 @@ def test_statistics(spark):
     assert statistics.long_statistics(long).first()["max_error_pos"] == 1
 
 
+def test_statistics_with_gaps(spark):
+    nan = float("nan")
+    rows = [(1, [1.0, nan, 5.0], [1.0, 3.0, 4.0]), (2, [nan, 2.0, 3.0], [0.0, 2.5, 3.0]), (3, [nan] * 3, [1.0] * 3)]
+    want = {1: (5.0, 1.0, 1.0, 2), 2: (nan, nan, 0.5, 1), 3: (nan, nan, 0.0, 0)}
+    df = spark.createDataFrame(rows, "grid_id long, a array<double>, b array<double>")
+    long = spark.createDataFrame([(g, k, x, y) for g, a, b in rows for k, (x, y) in enumerate(zip(a, b, strict=True))], "grid_id long, pos long, v double, w double")
+    for got in (statistics.statistics(df, (3,), "a", "b").collect(), statistics.long_statistics(long).collect()):
+        for r in got:
+            np.testing.assert_array_equal([r["max_value"], r["min_value"], r["max_error"], r["max_error_pos"]], want[r["grid_id"]])
+            assert math.isnan(r["mse"])
+
+
 def test_stream(spark, tmp_path):
     x = np.random.default_rng(6).standard_normal((4, 9))
     frame(spark, x).write.parquet(str(tmp_path / "in"))
