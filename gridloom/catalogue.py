@@ -251,11 +251,25 @@ def register_large() -> None:
 
         return query
 
+    def one_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cells, dims = boxed(line(spark, sf_dir), 2)
+        return tiles.decompose_large(cells, dims, 1, "hierarchical", tile=64).select("i1", "i2", "v")
+
+    QUERIES["large_hier_decompose_2d_l1"] = one_level
+    place = lambda i, n: f"case when {n} % 2 = 0 and {i} = {n} - 1 then {n} // 2 when {i} % 2 = 0 then {i} // 2 else {n} // 2 + 1 + {i} // 2 end"
+    value = lambda i, n: f"case when {n} % 2 = 0 and {i} = {n} - 1 then 2.0::double * v - before else v end"
+    ORACLES["large_hier_decompose_2d_l1"] = f"""{cells_sql(2)}, r as (select i1, i2, d1, d2, v, lag(v) over (partition by i1 order by i2) as before from c),
+        a as (select i1, {place('i2', 'd2')} as q, d1, d2, {value('i2', 'd2')} as v from r),
+        t as (select i1, q, d1, d2, v, lag(v) over (partition by q order by i1) as before from a),
+        b as (select {place('i1', 'd1')} as p, q, d1 // 2 + 1 as m1, d2 // 2 + 1 as m2, {value('i1', 'd1')} as v from t),
+        o as (select *, case when p < m1 then p else p - m1 end as p0, case when q < m2 then q else q - m2 end as q0 from b)
+        select o.p::bigint as i1, o.q::bigint as i2, case when o.p < o.m1 and o.q < o.m2 then o.v when o.p < o.m1 then o.v - (x.v + y.v) / 2.0::double when o.q < o.m2 then o.v - (x.v + z.v) / 2.0::double
+        else o.v - (x.v + y.v + z.v + w.v) / 4.0::double end as v from o
+        join b x on x.p = o.p0 and x.q = o.q0 left join b y on y.p = o.p0 and y.q = o.q0 + 1 left join b z on z.p = o.p0 + 1 and z.q = o.q0 left join b w on w.p = o.p0 + 1 and w.q = o.q0 + 1"""
     for rank in (1, 2, 3):
         QUERIES[f"large_decompose_{rank}d"] = large(rank, False)
         QUERIES[f"large_roundtrip_{rank}d"] = large(rank, True)
-        source = f"with recursive n as (select count(*)::bigint as n from events), s as (select {box_sql(rank)} from n), p as (select unnest(range(0, d1 * d2 * d3)) as p, d1, d2, d3 from s), c as (select p // (d2 * d3) as i1, p // d3 % d2 as i2, p % d3 as i3, coalesce(value, 0.0::double) as v from p left join events on event_id = p)"
-        ORACLES[f"large_roundtrip_{rank}d"] = f"{source} select 0::bigint as grid_id, i1::bigint as i1, i2::bigint as i2, i3::bigint as i3, round(v * 100)::bigint as v from c"
+        ORACLES[f"large_roundtrip_{rank}d"] = f"{cells_sql(rank)} select 0::bigint as grid_id, i1::bigint as i1, i2::bigint as i2, i3::bigint as i3, round(v * 100)::bigint as v from c"
 
 
 def boxed(cells: DataFrame, rank: int) -> tuple[DataFrame, list[int]]:
@@ -279,6 +293,11 @@ def box_dims(n: int, rank: int) -> list[int]:
     return [-(-n // math.prod(rest)), *rest]
 
 
+def cells_sql(rank: int) -> str:
+    """The cells c of the events as such a box."""
+    return f"with n as (select count(*)::bigint as n from events), s as (select {box_sql(rank)} from n), p as (select unnest(range(0, d1 * d2 * d3)) as p, d1, d2, d3 from s), c as (select p // (d2 * d3) as i1, p // d3 % d2 as i2, p % d3 as i3, d1, d2, coalesce(value, 0.0::double) as v from p left join events on event_id = p)"
+
+
 def box_sql(rank: int) -> str:
     side = f"floor(n ** (1.0 / {rank}) + 1e-9)::bigint"
     rest = [side] * (rank - 1)

@@ -51,6 +51,8 @@ def write_raw(df: DataFrame, folder: str, kind: str = "double", data: str = "dat
     def run(batches):
         os.makedirs(target, exist_ok=True)
         for batch in batches:
+            if batch.column(1).null_count or pa.ListArray.flatten(batch.column(1)).null_count:
+                raise ValueError("a grid is null or holds nulls")
             paths, sizes = [], []
             for grid_id, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = values.values.to_numpy(zero_copy_only=False).astype(of).tobytes()

@@ -37,7 +37,7 @@ def test_expressions_equal_kernels(spark, dims, basis):
     np.testing.assert_allclose(values(back), x.reshape(3, -1), atol=1e-12)
 
 
-@pytest.mark.parametrize("name", ["nan_stats_1d", "copy_box_2d_inner", "decompose_box_2d", "recompose_box_2d_inner", "float_decompose_2d", "raw_roundtrip_float", "print_matrix", "print_ragged", "depth_table", "banded_solve_1d", "large_roundtrip_2d", "compression_ratio_1d", "l2_decompose_1d_odd_full", "reorder_2d", "unreorder_3d_odd", "residual_2d_mixed", "l2_correction_2d", "restriction_2d_odd", "progressive_2d", "decomposed_form_2d", "roundtrip_stats_1d", "dot_product_3d", "operator_norm_3d", "levels_table", "thomas_factors", "hier_decompose_events_l1", "load_vector_vertical", "mass_solve"])
+@pytest.mark.parametrize("name", ["nan_stats_1d", "large_hier_decompose_2d_l1", "copy_box_2d_inner", "decompose_box_2d", "recompose_box_2d_inner", "float_decompose_2d", "raw_roundtrip_float", "print_matrix", "print_ragged", "depth_table", "banded_solve_1d", "large_roundtrip_2d", "compression_ratio_1d", "l2_decompose_1d_odd_full", "reorder_2d", "unreorder_3d_odd", "residual_2d_mixed", "l2_correction_2d", "restriction_2d_odd", "progressive_2d", "decomposed_form_2d", "roundtrip_stats_1d", "dot_product_3d", "operator_norm_3d", "levels_table", "thomas_factors", "hier_decompose_events_l1", "load_vector_vertical", "mass_solve"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in ("embeddings", "events"):
@@ -141,6 +141,8 @@ def test_raw_files(spark, tmp_path):
     x = np.random.default_rng(4).standard_normal((3, 5))
     done = raw.write_raw(frame(spark, x), str(tmp_path)).collect()
     assert sorted(r["n_bytes"] for r in done) == [40, 40, 40]
+    with pytest.raises(Exception, match="is null or holds nulls"):
+        raw.write_raw(spark.createDataFrame([(1, [1.0]), (2, None)], "grid_id long, data array<double>"), str(tmp_path / "bad")).collect()
     (tmp_path / "odd.bin").write_bytes(np.array([1.5, 2.5]).tobytes() + b"xyz")
     got = {r["path"].rsplit("/", 1)[1]: r["data"] for r in raw.read_raw(spark, str(tmp_path)).collect()}
     assert got["odd.bin"] == [1.5, 2.5]
