@@ -196,6 +196,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, most: int = MOST) ->
     if not 0 <= radius <= 4:
         raise ValueError("the balls are laid out for a radius of 4 or less")
     n = partitions_for(distinct.sparkSession)
+    distinct = distinct.select("fp").repartition(n, "fp")  # few rows become many
     met = distinct.select(F.explode(projected_variants(F.col("fp"))).alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(links_of_buckets(radius, most), "a long, b long, hot boolean").distinct().checkpoint()
     links = met.where("not hot").select("a", "b")
     hot = met.where("hot").select(F.col("a").alias("fp")).distinct()
