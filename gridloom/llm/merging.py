@@ -55,14 +55,6 @@ class PairTable:
         return out.reshape(shape)
 
 
-def merge_all(cuts: list[bytes], start: Callable[[np.ndarray, np.ndarray], np.ndarray], pairs: PairTable, merged: np.ndarray) -> list[bytes]:
-    """Ids of non-empty cuts, little-endian 32 bit; start and merged as for merge_flat."""
-    size = np.fromiter(map(len, cuts), np.int64, len(cuts))
-    flat, n = merge_flat(np.frombuffer(b"".join(cuts), np.uint8), np.cumsum(size) - size, size, start, pairs, merged)
-    raw, ends = flat.astype("<u4").tobytes(), (np.cumsum(n) * 4).tolist()
-    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
-
 def merge_flat(raw: np.ndarray, first: np.ndarray, size: np.ndarray, start: Callable[[np.ndarray, np.ndarray], np.ndarray], pairs: PairTable, merged: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the non-empty cuts raw[first : first + size], end to end, and how many each has.
 

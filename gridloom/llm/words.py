@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .memo import Known
 from .merging import PairTable, merge_flat
 
 #: Distinct words and parts of words that a worker knows at most (about 40 bytes each).
@@ -42,41 +42,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(kept) else chr(256 + rest.index(b)) for b in range(256)]
 
 
-def gathered(ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The stretches ids[first : first + count], end to end."""
-    return ids[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
-
-
-class Known:
-    """Distinct strings and the ids each encodes to; begins afresh when it holds more than ``most``."""
-
-    def __init__(self, compute: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int):
-        self.compute, self.most = compute, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.strings = pa.array([], pa.string())
-        self.ids, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def encode(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all strings end to end, and how many each has."""
-        coded = strings.dictionary_encode()
-        place = pc.index_in(coded.dictionary, value_set=self.strings)
-        missing = place.is_null()
-        if place.null_count:
-            new = coded.dictionary.filter(missing)
-            if len(self.strings) + len(new) > self.most:
-                self.clear()
-                new = coded.dictionary
-            ids, count = self.compute(new)
-            self.strings = pa.concat_arrays([self.strings, new])
-            self.ids, self.count = np.concatenate([self.ids, ids]), np.concatenate([self.count, count])
-            place = pc.index_in(coded.dictionary, value_set=self.strings)
-        at = place.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)]
-        first = np.cumsum(self.count) - self.count
-        return gathered(self.ids, first[at], self.count[at]), self.count[at]
-
-
 class WordEncoder:
     """encode(texts): the ids of all texts end to end, and how many each has."""
 
