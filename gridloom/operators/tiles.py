@@ -6,7 +6,7 @@ a tridiagonal solve along one axis after another: for each, the box is cut into
 of lines along that axis, lines beyond LINE nodes into stretches with REACH nodes more on
 each side, past which the inverse mass matrix, decaying by 0.268 a node, is below double
 precision. So cells are repeated only at the edges of tiles, whatever the rank; in three
-dimensions about 3.3 cells are shuffled for each cell of a level, all passes together.
+dimensions about 3 cells are shuffled for each cell of a level, all passes together.
 The nodal cells, a 2^rank-th of all, go on to the next level.
 
 A tile that does not hold every cell exactly once is an error, and so are null values.
