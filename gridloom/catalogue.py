@@ -227,12 +227,16 @@ def line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit(0).cast("long").alias("grid_id"), F.col("event_id").alias("i1"), F.lit(0).cast("long").alias("i2"), F.lit(0).cast("long").alias("i3"), F.col("value").alias("v"))
 
 
+#: Cells that the whole-table grids leave to one task: few, so that the small tables go through tiles as well.
+IN_ONE_TASK = 4096
+
+
 def register_large() -> None:
     """Whole-table grids: one long line in tiles and by the closed form of the solve, and lines, planes and boxes in tiles."""
 
     def hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
         cells = line(spark, sf_dir)
-        return tiles.decompose_large(cells, (cells.count(),), 1, "hierarchical", tile=4096).select("i1", "v")
+        return tiles.decompose_large(cells, (cells.count(),), 1, "hierarchical", tile=4096, whole=0).select("i1", "v")
 
     QUERIES["hier_decompose_events_l1"] = hierarchical
     ORACLES["hier_decompose_events_l1"] = (
@@ -246,14 +250,14 @@ def register_large() -> None:
     def large(rank: int, back: bool) -> Query:
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             cells, dims = boxed(line(spark, sf_dir), rank)
-            out = tiles.decompose_large(cells, dims)
-            return scaled(tiles.recompose_large(out, dims), 100) if back else scaled(out, 10**6)
+            out = tiles.decompose_large(cells, dims, whole=IN_ONE_TASK)
+            return scaled(tiles.recompose_large(out, dims, whole=IN_ONE_TASK), 100) if back else scaled(out, 10**6)
 
         return query
 
     def one_level(spark: SparkSession, sf_dir: str) -> DataFrame:
         cells, dims = boxed(line(spark, sf_dir), 2)
-        return tiles.decompose_large(cells, dims, 1, "hierarchical", tile=64).select("i1", "i2", "v")
+        return tiles.decompose_large(cells, dims, 1, "hierarchical", tile=64, whole=0).select("i1", "i2", "v")
 
     QUERIES["large_hier_decompose_2d_l1"] = one_level
     place = lambda i, n: f"case when {n} % 2 = 0 and {i} = {n} - 1 then {n} // 2 when {i} % 2 = 0 then {i} // 2 else {n} // 2 + 1 + {i} // 2 end"

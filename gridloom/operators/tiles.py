@@ -7,7 +7,8 @@ of lines along that axis, lines beyond LINE nodes into stretches with REACH node
 each side, past which the inverse mass matrix, decaying by 0.268 a node, is below double
 precision. So cells are repeated only at the edges of tiles, whatever the rank; in three
 dimensions about 3 cells are shuffled for each cell of a level, all passes together.
-The nodal cells, a 2^rank-th of all, go on to the next level.
+The nodal cells, a 2^rank-th of all, go on to the next level; once a grid's box holds no
+more than WHOLE cells, the levels left are taken in one task for each grid.
 
 A tile that does not hold every cell exactly once is an error, and so are null values.
 """
@@ -33,6 +34,8 @@ from .grid import is_l2
 TILE, MARGIN = {1: 65536, 2: 512, 3: 96}, 2
 #: Nodes of a line that are solved together, nodes beyond on each side, and by rank the lines of a bundle along each other axis.
 LINE, REACH, BUNDLE = 4096, 32, {1: 1, 2: 64, 3: 12}
+#: Cells of a box that one task transforms to the end.
+WHOLE = 1 << 18
 CELLS = "grid_id long, i1 long, i2 long, i3 long, v double"
 AXES = ("i1", "i2", "i3")
 
@@ -176,7 +179,17 @@ def started(cells: DataFrame) -> DataFrame:
     return cells.select(F.col("grid_id").cast("long"), *[F.col(a).cast("long") for a in AXES], value.alias("v"))
 
 
-def decompose_large(cells: DataFrame, dims: Sequence[int], levels: int | None = None, basis: str = "l2", tile: int | None = None, line: int = LINE) -> DataFrame:
+def at_once(cells: DataFrame, shape: Sequence[int], kernel) -> DataFrame:
+    """The kernel on the whole box of each grid."""
+
+    def run(key, held):
+        x = scattered(held, places(held, len(shape)), shape)[None]
+        return listed(key[0].as_py(), [np.arange(n) for n in shape], kernel(x)[0])
+
+    return cells.groupBy("grid_id").applyInArrow(run, CELLS)
+
+
+def decompose_large(cells: DataFrame, dims: Sequence[int], levels: int | None = None, basis: str = "l2", tile: int | None = None, line: int = LINE, whole: int = WHOLE) -> DataFrame:
     """(grid_id, i1, i2, i3, v) of whole grids to their decomposition in the same form, cells being places in the layout."""
     dims, l2 = check_dims(dims), is_l2(basis)
     ready(cells.sparkSession)
@@ -184,6 +197,9 @@ def decompose_large(cells: DataFrame, dims: Sequence[int], levels: int | None =
     shapes = level_dims(dims, depth(dims, levels))
     done, rest = None, started(cells)
     for k in range(len(shapes) - 1, 0, -1):
+        if math.prod(shapes[k]) <= whole:
+            rest = at_once(rest, shapes[k], lambda x, k=k: kernels.decompose(x, k, l2))
+            break
         level = residuals(rest, shapes[k], tile, True).checkpoint()
         if l2:
             level = corrected(level, shapes[k], 1, line).checkpoint()
@@ -192,14 +208,17 @@ def decompose_large(cells: DataFrame, dims: Sequence[int], levels: int | None =
     return rest if done is None else done.union(rest)
 
 
-def recompose_large(cells: DataFrame, dims: Sequence[int], levels: int | None = None, basis: str = "l2", tile: int | None = None, line: int = LINE) -> DataFrame:
+def recompose_large(cells: DataFrame, dims: Sequence[int], levels: int | None = None, basis: str = "l2", tile: int | None = None, line: int = LINE, whole: int = WHOLE) -> DataFrame:
     """The inverse of decompose_large."""
     dims, l2 = check_dims(dims), is_l2(basis)
     ready(cells.sparkSession)
     tile = tile or TILE[len(dims)]
     shapes, cells = level_dims(dims, depth(dims, levels)), started(cells)
-    box = cells.where(inside(shapes[0]))
-    for below, shape in zip(shapes, shapes[1:], strict=False):
+    done = max((k for k, shape in enumerate(shapes) if math.prod(shape) <= whole), default=0)
+    box = cells.where(inside(shapes[done]))
+    if done:
+        box = at_once(box, shapes[done], lambda x: kernels.recompose(x, done, l2))
+    for below, shape in zip(shapes[done:], shapes[done + 1 :], strict=False):
         box = box.union(cells.where(inside(shape) & ~inside(below)))
         if l2:
             box = corrected(box, shape, -1, line)

@@ -1,6 +1,7 @@
 """The Spark operators against the kernels and, through the catalogue, against DuckDB."""
 
 import math
+from itertools import product
 
 import duckdb
 import numpy as np
@@ -52,38 +53,38 @@ def test_oracle(spark, name):
 def test_tiles_equal_kernels(spark, dims):
     x = np.random.default_rng(5).standard_normal((1, *dims))
     cells = grid.to_long(frame(spark, x), dims)
-    got = tiles.decompose_large(cells, dims, 2, tile=64)
+    got = tiles.decompose_large(cells, dims, 2, tile=64, whole=0)
     want = kernels.decompose(x, 2, True)[0]
     out = np.full(dims, np.nan)
     for r in got.collect():
         out[tuple([r["i1"], r["i2"], r["i3"]][: len(dims)])] = r["v"]
     np.testing.assert_allclose(out, want, atol=1e-11)
-    back = tiles.recompose_large(got, dims, 2, tile=64).toPandas()
+    back = tiles.recompose_large(got, dims, 2, tile=64, whole=0).toPandas()
     assert len(back) == math.prod(dims)
     np.testing.assert_allclose(back["v"], x[0][tuple(back[f"i{k + 1}"] for k in range(len(dims)))], atol=1e-10)
 
 
-@pytest.mark.parametrize(("dims", "tile", "line"), [((400,), 64, 40), ((90, 130), 32, 20), ((33, 40, 50), 16, 8)])
-def test_small_stretches(spark, dims, tile, line):
+@pytest.mark.parametrize(("dims", "tile", "line", "whole"), [((400,), 64, 40, 0), ((90, 130), 32, 20, 4000), ((33, 40, 50), 16, 8, 0), ((33, 40), 16, 8, 9999)])
+def test_small_stretches(spark, dims, tile, line, whole):
     """Lines solved in many short stretches, both bases, to full depth and back."""
     x = np.random.default_rng(6).standard_normal((1, *dims))
     cells = grid.to_long(frame(spark, x), dims)
     for basis in grid.BASES:
-        got = tiles.decompose_large(cells, dims, 2, basis, tile=tile, line=line)
+        got = tiles.decompose_large(cells, dims, 2, basis, tile=tile, line=line, whole=whole)
         out = np.full(dims, np.nan)
         for r in got.collect():
             out[tuple([r["i1"], r["i2"], r["i3"]][: len(dims)])] = r["v"]
         np.testing.assert_allclose(out, kernels.decompose(x, 2, basis == "l2")[0], atol=1e-11)
-        back = tiles.recompose_large(got, dims, 2, basis, tile=tile, line=line).toPandas()
+        back = tiles.recompose_large(got, dims, 2, basis, tile=tile, line=line, whole=whole).toPandas()
         np.testing.assert_allclose(back["v"], x[0][tuple(back[f"i{k + 1}"] for k in range(len(dims)))], atol=1e-10)
 
 
 def test_bad_cells_are_refused(spark):
     cells = [(0, k, 0, 0, float(k)) for k in range(30)]
     kind = "grid_id long, i1 long, i2 long, i3 long, v double"
-    for rows in (cells[:7] + cells[8:], [*cells, cells[3]], [*cells[:9], (0, 9, 0, 0, None), *cells[10:]]):
+    for rows, whole in product((cells[:7] + cells[8:], [*cells, cells[3]], [*cells[:9], (0, 9, 0, 0, None), *cells[10:]]), (0, 99)):
         with pytest.raises(Exception, match="lacks cells or holds some twice|holds nulls"):
-            tiles.decompose_large(spark.createDataFrame(rows, kind), (30,), 1).collect()
+            tiles.decompose_large(spark.createDataFrame(rows, kind), (30,), 1, whole=whole).collect()
     with pytest.raises(ValueError, match="basis"):
         tiles.decompose_large(spark.createDataFrame(cells, kind), (30,), 1, basis="L2 ")
 
