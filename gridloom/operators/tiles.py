@@ -8,7 +8,8 @@ each side, past which the inverse mass matrix, decaying by 0.268 a node, is belo
 precision. So cells are repeated only at the edges of tiles, whatever the rank; in three
 dimensions about 3 cells are shuffled for each cell of a level, all passes together.
 The nodal cells, a 2^rank-th of all, go on to the next level; once a grid's box holds no
-more than WHOLE cells, the levels left are taken in one task for each grid.
+more than WHOLE cells, the levels left are taken in one task for each grid. On the way
+back the cells are first written by level, so that each level reads its own cells alone.
 
 A tile that does not hold every cell exactly once is an error, and so are null values.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.levels import check_dims, depth, level_dims, nodal
-from gridloom.functions.session import ready
+from gridloom.functions.session import drop, ready, scratch, tidy
 
 from . import kernels
 from .grid import is_l2
@@ -189,6 +190,13 @@ def at_once(cells: DataFrame, shape: Sequence[int], kernel) -> DataFrame:
     return cells.groupBy("grid_id").applyInArrow(run, CELLS)
 
 
+def by_level(cells: DataFrame, shapes: Sequence[Sequence[int]], path: str) -> DataFrame:
+    """The cells written with the level (k) of the least of the shapes that holds them; a filter on k reads one level's files."""
+    level = reduce(lambda w, k: w.when(inside(shapes[k]), F.lit(k)), range(1, len(shapes)), F.when(inside(shapes[0]), F.lit(0)))
+    cells.withColumn("k", level).where("k is not null").write.partitionBy("k").parquet(path)
+    return cells.sparkSession.read.schema(f"{CELLS}, k int").parquet(path)
+
+
 def decompose_large(cells: DataFrame, dims: Sequence[int], levels: int | None = None, basis: str = "l2", tile: int | None = None, line: int = LINE, whole: int = WHOLE) -> DataFrame:
     """(grid_id, i1, i2, i3, v) of whole grids to their decomposition in the same form, cells being places in the layout."""
     dims, l2 = check_dims(dims), is_l2(basis)
@@ -203,6 +211,7 @@ def decompose_large(cells: DataFrame, dims: Sequence[int], levels: int | None =
         level = residuals(rest, shapes[k], tile, True).checkpoint()
         if l2:
             level = corrected(level, shapes[k], 1, line).checkpoint()
+        tidy(cells.sparkSession)
         shell = level.where(~inside(shapes[k - 1]))
         done, rest = shell if done is None else done.union(shell), level.where(inside(shapes[k - 1]))
     return rest if done is None else done.union(rest)
@@ -210,17 +219,22 @@ def decompose_large(cells: DataFrame, dims: Sequence[int], levels: int | None =
 
 def recompose_large(cells: DataFrame, dims: Sequence[int], levels: int | None = None, basis: str = "l2", tile: int | None = None, line: int = LINE, whole: int = WHOLE) -> DataFrame:
     """The inverse of decompose_large."""
-    dims, l2 = check_dims(dims), is_l2(basis)
-    ready(cells.sparkSession)
+    dims, l2, spark = check_dims(dims), is_l2(basis), cells.sparkSession
+    ready(spark)
     tile = tile or TILE[len(dims)]
     shapes, cells = level_dims(dims, depth(dims, levels)), started(cells)
     done = max((k for k, shape in enumerate(shapes) if math.prod(shape) <= whole), default=0)
-    box = cells.where(inside(shapes[done]))
+    path = scratch(spark, "levels") if len(shapes) > done + 1 else None
+    held = by_level(cells, shapes[done:], path) if path else cells.where(inside(shapes[done])).withColumn("k", F.lit(0))
+    box = held.where("k = 0").drop("k")
     if done:
         box = at_once(box, shapes[done], lambda x: kernels.recompose(x, done, l2))
-    for below, shape in zip(shapes[done:], shapes[done + 1 :], strict=False):
-        box = box.union(cells.where(inside(shape) & ~inside(below)))
+    for k, shape in enumerate(shapes[done + 1 :], 1):
+        box = box.union(held.where(F.col("k") == k).drop("k"))
         if l2:
             box = corrected(box, shape, -1, line)
         box = residuals(box, shape, tile, False).checkpoint()
+        tidy(spark)
+    if path:
+        drop(spark, path)
     return box

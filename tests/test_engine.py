@@ -180,3 +180,21 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("grid_id long, data array<double>").parquet(str(tmp_path / "in"))
     decompose_to_parquet(stream, (9,), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).where(F.col("level") == 0).count() == 4 * 2
+
+
+def test_way_back_reads_each_cell_once(spark):
+    """All levels together take one pass over the cells given, so tasks do not grow with levels times tables."""
+    n, read = 300, spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        read.add(1)
+        return row
+
+    rows = [(0, i, 0, 0, float(i * i % 17)) for i in range(n)]
+    there = tiles.decompose_large(spark.createDataFrame(rows, tiles.CELLS), (n,), tile=32, line=64, whole=16)
+    cells = spark.createDataFrame(there.rdd.map(counted), tiles.CELLS)
+    back = tiles.recompose_large(cells, (n,), tile=32, line=64, whole=16)
+    got = sorted((r["i1"], r["v"]) for r in back.collect())
+    assert [i for i, _ in got] == list(range(n))
+    assert max(abs(v - i * i % 17) for i, v in got) < 1e-9
+    assert read.value == n
