@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, met in min-hash blocks.
+"""Near-duplicates by the Jaccard similarity of word shingles, met by SimHash and in min-hash blocks.
 
 A pair at similarity 0.8 differs in about 10 of 64 SimHash bits, out of reach of balls
 of any affordable size. So each distinct set of shingles takes BANDS blocks of ROWS
@@ -6,8 +6,9 @@ min-hashes; a pair at similarity s misses all of them with probability
 (1 - s**ROWS)**BANDS, 5e-7 at 0.8 and less above. Whatever meets in a block is
 verified on the whole sets, so every link is exact.
 
-First each member of a block meets the block's least one, which joins a crowd of near
-copies in as many pairs as it has members; then members of a block that are still in
+SimHash comes first: units whose fingerprints link within a radius are verified as well. Then
+each member of a block meets the block's least one, which joins a crowd of near
+copies in as many pairs as it has members; last, members of a block that are still in
 different components meet each other. Pairs within one component need no check, as only
 components are asked for.
 
@@ -18,6 +19,8 @@ space do not count.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +33,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 48, 6
 SEED = 42
-#: Shingles min-hashed together.
-CHUNK = 1 << 11
+#: Shingles min-hashed together, and those whose bits are counted together.
+CHUNK, BITS_CHUNK = 1 << 11, 1 << 14
 
 _RNG = np.random.default_rng(SEED)
 FACTOR = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
@@ -39,8 +42,8 @@ SHIFT = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 MIX = _RNG.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) | np.uint64(1)
 
 
-def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles."""
+def hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """64-bit hashes of a text's word shingles in their order, repeats included."""
     from xxhash import xxh64_intdigest
 
     split = (text or "").encode("utf-8", "replace").lower().split()
@@ -51,7 +54,20 @@ def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     np.cumsum([len(w) + 1 for w in split], out=at[1:])
     n = max(1, len(split) - words + 1)
     starts, ends = at[:n].tolist(), (at[min(words, len(split)) :] - 1).tolist()
-    return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64))
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
+
+
+def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles."""
+    return np.unique(hashes(text, words))
+
+
+def majority(h: np.ndarray) -> int:
+    """SimHash of shingle hashes: each bit that over half of them have set."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(h), BITS_CHUNK):
+        counts += np.unpackbits(h[k : k + BITS_CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
 def block_keys(held: np.ndarray) -> np.ndarray:
@@ -66,18 +82,20 @@ def block_keys(held: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text) to (doc_id, th, u, n, keys): the text's hash, its set's hash and size, and its blocks."""
+    """(doc_id, text) to (doc_id, th, u, n, fp, keys): the text's hash, its set's hash and size, its SimHash and its blocks."""
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
+            every = [hashes(t, words) for t in batch.column("text").to_pylist()]
+            fp = np.array([majority(h) for h in every], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in every]
             u = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             n = np.array([len(x) for x in sets], np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(u), pa.array(n), pa.array([block_keys(x) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "th", "u", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(u), pa.array(n), pa.array(fp), pa.array([block_keys(x) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "th", "u", "n", "fp", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text").mapInArrow(run, "doc_id long, th long, u long, n int, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text").mapInArrow(run, "doc_id long, th long, u long, n int, fp long, keys array<long>")
 
 
 def text_hash():
@@ -96,17 +114,33 @@ def sets_of(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     return texts.select("u", "text").mapInArrow(run, "u long, shingles array<long>")
 
 
-def similar_components(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, text) to (doc_id, th, root): rows with one root are linked by pairs at that similarity or above."""
+def simhash_pairs(units: DataFrame, near: Callable[[DataFrame], DataFrame], count: int) -> DataFrame:
+    """Pairs (a, b) of units that SimHash links, a < b: of each fingerprint's units the least with the others, and the least ones of linked fingerprints."""
+    least = units.groupBy("fp").agg(F.min("u").alias("least")).checkpoint()
+    same = units.select("u", "fp").join(least, "fp").where("u <> least").select(F.col("least").alias("a"), F.col("u").alias("b"))
+    links = near(least.select("fp"))
+    linked = links.join(least.toDF("a", "la"), "a").join(least.toDF("b", "lb"), "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+    pairs = settled(same.union(linked).distinct(), count)
+    tidy(units.sparkSession)
+    return pairs
+
+
+def similar_components(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc_id, text) to (doc_id, th, root): rows with one root are linked by pairs at that similarity or above.
+
+    ``near`` gives the links (a, b) of a table of distinct SimHashes (fp).
+    """
     ensure_checkpoint_dir(docs.sparkSession)
     each = sketches(docs, words).checkpoint()
-    units = each.where("n > 0").groupBy("u").agg(F.min("n").alias("n"), F.min("th").alias("th"), F.any_value("keys").alias("keys")).checkpoint()
+    units = each.where("n > 0").groupBy("u").agg(F.min("n").alias("n"), F.min("th").alias("th"), F.min("fp").alias("fp"), F.any_value("keys").alias("keys")).checkpoint()
     count = units.count()
     tidy(docs.sparkSession)
+    by_bits = simhash_pairs(units, near, count) if near else None
     cells = units.select("u", "n", F.explode("keys").alias("key"))
     heads = cells.groupBy("key").agg(F.min(F.struct("u", "n")).alias("head"), F.count("*").alias("members")).where("members > 1").select("key", "head")
     met = cells.join(heads, "key").select("key", "u", "n", "head").checkpoint()
-    sets = sets_of(docs, units.join(met.select("u").distinct(), "u", "left_semi").select("th", "u"), words).checkpoint()
+    wanted = met.select("u").union(by_bits.select("a")).union(by_bits.select("b")) if near else met.select("u")
+    sets = sets_of(docs, units.join(wanted.distinct(), "u", "left_semi").select("th", "u"), words).checkpoint()
     alike = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -114,9 +148,11 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, words: i
         common = F.size(F.array_intersect("sa", "sb"))
         return settled(both.where(common / (F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b"), count)
 
+    links = linked(by_bits) if near else None
     stars = met.where("u <> head.u").select(F.col("head.u").alias("a"), F.col("u").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb")).where(alike).select("a", "b").distinct().checkpoint()
     tidy(docs.sparkSession)
-    links = linked(stars)
+    stars = stars.join(by_bits, ["a", "b"], "left_anti") if near else stars
+    links = links.union(linked(stars)) if near else linked(stars)
     roots = connected_components(links).withColumnRenamed("node", "u")
     placed = met.select("key", "u", "n").join(roots, "u", "left").select("key", "u", "n", F.coalesce("root", "u").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")

@@ -218,13 +218,15 @@ def near_duplicate_components(docs: DataFrame, radius: int = 4, words: int = SHI
     return each.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, similarity: float = resemblance.SIMILARITY, words: int = resemblance.SHINGLE_WORDS) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = resemblance.SIMILARITY, words: int = resemblance.SHINGLE_WORDS, radius: int = 4) -> DataFrame:
     """The documents, with all their columns, that have the least id of their group; of rows with one id, one.
 
-    Groups are those of resemblance: the radius above stays far below that similarity.
+    Fingerprints of all documents are linked within the radius by the balls above, and each such link
+    is verified on whole shingle sets. What is as similar but farther apart in bits, as most pairs at
+    that similarity are, is then found in the blocks of resemblance and verified alike.
     A row with a null id is never dropped: no id names it.
     """
-    kept = resemblance.similar_components(docs, similarity, words).groupBy("root").agg(F.min("doc_id").alias("key")).select("key").where("key is not null").distinct()
+    kept = resemblance.similar_components(docs, similarity, words, lambda fps: fingerprint_links(fps, radius)).groupBy("root").agg(F.min("doc_id").alias("key")).select("key").where("key is not null").distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("key"))
     named = rows.where("key is not null").join(kept, "key", "left_semi").groupBy("key").agg(F.first("doc").alias("doc"))
     return named.select("doc.*").union(rows.where("key is null").select("doc.*"))

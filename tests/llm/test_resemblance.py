@@ -37,3 +37,32 @@ def test_stage_reaches_similarity(spark):
     for r in resemblance.similar_components(docs).collect():
         pairs.setdefault(r["root"], set()).add(want[r["doc_id"]])
     assert all(len(x) == 1 for x in pairs.values())
+
+
+def test_stage_goes_through_simhash(spark, monkeypatch):
+    """Every distinct fingerprint of the documents goes to the balls, and their links to the check, which only similar texts pass."""
+    asked, checked = [], []
+    links, pairs = simhash.fingerprint_links, resemblance.simhash_pairs
+
+    def told(distinct, radius=4, most=simhash.MOST):
+        asked.append((sorted(r["fp"] for r in distinct.collect()), radius))
+        return links(distinct, radius, most)
+
+    def kept(*given):
+        out = pairs(*given)
+        checked.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "fingerprint_links", told)
+    monkeypatch.setattr(resemblance, "simhash_pairs", kept)
+    base = [f"w{k}" for k in range(400)]
+    texts = [base, [*base[:-1], "x"], [f"v{k}" for k in range(300)], ["only", "four", "words", "here"], base]
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [0, 2, 3]
+    want = {simhash.fingerprint(" ".join(x), 5) for x in texts}
+    assert [([f % 2**64 for f in fps], radius) for fps, radius in asked] == [([f for f in sorted(want, key=simhash.signed)], 4)]
+    assert checked == [1]
+    # With a radius of 64 bits nothing but the check could keep unlike texts apart.
+    every = lambda fps: fps.toDF("a").crossJoin(fps.toDF("b")).where("a < b")
+    roots = {r["doc_id"]: r["root"] for r in resemblance.similar_components(docs, near=every).collect()}
+    assert len(set(roots.values())) == 3 and roots[0] == roots[1] == roots[4]
