@@ -9,7 +9,8 @@ verified on the whole sets, so every link is exact.
 SimHash comes first: units whose fingerprints link within a radius are verified as well. Then
 each member of a block meets the block's least one, which joins a crowd of near
 copies in as many pairs as it has members; last, members of a block that are still in
-different components meet each other. Pairs within one component need no check, as only
+different components meet where they share one of their rarest shingles, early enough for
+what is left of both sets to reach the similarity (prefixes of sets, an exact condition). Pairs within one component need no check, as only
 components are asked for.
 
 Defined results: texts of the same shingles are one unit; a text shorter than a shingle is
@@ -125,6 +126,24 @@ def simhash_pairs(units: DataFrame, near: Callable[[DataFrame], DataFrame], coun
     return pairs
 
 
+def rare_pairs(units: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of units (u, n, root, shingles) with different roots: all at that similarity or above, and few others.
+
+    With the shingles of each set in one order, the rarest first, the first one that two similar
+    sets share stands early enough in both that what follows can still make up their overlap.
+    """
+    each = units.select("u", F.explode("shingles").alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    ordered = each.join(shared, "s").groupBy("u").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("ts"))
+    # A set's shingles that no other set has come before all these. At least so many of n must be shared.
+    least = F.ceil(F.lit(similarity) * F.col("n") - 1e-6)
+    placed = ordered.join(units.select("u", "n", "root"), "u").select("u", "n", "root", F.expr("n - size(ts)").alias("own"), F.slice("ts", 1, F.greatest(F.lit(0), F.expr("size(ts)") - least + 1).cast("int")).alias("ts"))
+    early = placed.select("u", "n", "root", "own", F.posexplode("ts").alias("p", "t")).select(F.col("t.s").alias("s"), "u", "n", "root", (F.col("n") - F.col("own") - F.col("p")).alias("left")).checkpoint()
+    both = early.toDF("s", "a", "na", "ra", "la").join(early.toDF("s", "b", "nb", "rb", "lb"), "s")
+    enough = F.least("la", "lb") >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6
+    return both.where("a < b and ra <> rb").where(enough).select("a", "b").distinct()
+
+
 def similar_components(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, text) to (doc_id, th, root): rows with one root are linked by pairs at that similarity or above.
 
@@ -156,8 +175,9 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, words: i
     roots = connected_components(links).withColumnRenamed("node", "u")
     placed = met.select("key", "u", "n").join(roots, "u", "left").select("key", "u", "n", F.coalesce("root", "u").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    apart = placed.join(split, "key").checkpoint()
-    crossed = apart.toDF("key", "a", "na", "ra").join(apart.toDF("key", "b", "nb", "rb"), "key").where("a < b and ra <> rb").where(alike)
-    more = linked(crossed.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
+    apart = placed.join(split, "key").select("u", "n", "root").distinct().join(sets, "u").checkpoint()
+    tidy(docs.sparkSession)
+    crossed = settled(rare_pairs(apart, similarity), count)
+    more = linked(crossed.join(stars, ["a", "b"], "left_anti"))
     roots = connected_components(links.union(more)).withColumnRenamed("node", "u")
     return each.join(roots, "u", "left").select("doc_id", "th", F.coalesce("root", "u").alias("root"))

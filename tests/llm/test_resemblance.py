@@ -66,3 +66,22 @@ def test_stage_goes_through_simhash(spark, monkeypatch):
     every = lambda fps: fps.toDF("a").crossJoin(fps.toDF("b")).where("a < b")
     roots = {r["doc_id"]: r["root"] for r in resemblance.similar_components(docs, near=every).collect()}
     assert len(set(roots.values())) == 3 and roots[0] == roots[1] == roots[4]
+
+
+def test_crowd_of_unlike_copies_makes_few_pairs(spark):
+    """Copies of one text with five words changed each are unlike one another: they are not compared pair by pair, and those few that are alike are."""
+    rng = np.random.default_rng(3)
+    base, texts = [f"w{k}" for k in range(40)], []
+    for k in range(200):
+        copy = list(base)
+        for j in rng.choice(40, 5, replace=False):
+            copy[j] = f"x{k}_{j}"
+        texts += [copy] if k % 20 else [copy, [*copy, "more"]]
+    sets = [set(zip(*[x[j:] for j in range(5)], strict=False)) for x in texts]
+    units = spark.createDataFrame([(k, len(x), k, sorted(hash(s) for s in x)) for k, x in enumerate(sets)], "u long, n int, root long, shingles array<long>")
+    got = {(r["a"], r["b"]) for r in resemblance.rare_pairs(units, 0.8).collect()}
+    want = {(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(want) >= 10 and {(b, a) for a, b in want} <= got
+    assert len(got) <= 2 * len(texts)
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(components(sets, 0.8)))
