@@ -10,8 +10,8 @@ SimHash comes first: units whose fingerprints link within a radius are verified
 each member of a block meets the block's least one, which joins a crowd of near
 copies in as many pairs as it has members; last, members of a block that are still in
 different components meet where they share one of their rarest shingles, early enough for
-what is left of both sets to reach the similarity (prefixes of sets, an exact condition). Pairs within one component need no check, as only
-components are asked for.
+what is left of both sets to reach the similarity (prefixes of sets, an exact condition).
+Pairs within one component need no check, as only components are asked for.
 
 Defined results: texts of the same shingles are one unit; a text shorter than a shingle is
 one shingle; null and empty texts have no shingles and are alike; ASCII case and white
