@@ -44,6 +44,8 @@ END_ID = 1
 ROUNDS = 6
 #: Bytes of sequences that a task sorts into blocks at a time, and the blocks' compression.
 BLOCK_BYTES, BLOCK_LEVEL = 1 << 25, 5
+#: Compression of the sequences' table, which stays on disk beside the blocks and the shards.
+TABLE_LEVEL = 9
 KEY = 0x5EED
 
 
@@ -201,6 +203,6 @@ def materialise(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     path = scratch_dir(spark, "sequences")
-    sequences(docs, tokenizer_path, stride).write.option("compression", "zstd").parquet(path)
+    sequences(docs, tokenizer_path, stride).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(TABLE_LEVEL)).parquet(path)
     blocks, count = in_blocks(spark.read.parquet(path), key, rows)
     return write_shards(blocks, count, folder or scratch_dir(spark, "shards"), stride, rows)
